@@ -44,6 +44,8 @@ from tallgrass.session import table
 
 _U = np.uint64
 LENGTH, GRAM = 100, 32
+#: Stands for a null doc_id, before all others.
+NO_ID = -(1 << 63)
 #: Contexts whose suffix array is built at once; an anchor's contexts stay together.
 BLOCK = 4_096
 _POSITION = _U(K.PIECE - 1)
@@ -266,7 +268,8 @@ def find_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_
         raise ValueError("gram is 8 or more and less than length")
     id_long = F.col(id_column).cast("long")
     text = F.coalesce(F.col(text_column), F.lit(""))
-    keyed = docs.select(id_long.alias("doc_id"), F.coalesce(id_long, F.lit(-(1 << 63))).alias("dkey"), F.xxhash64(text).alias("tk"), text.alias("text"))
+    # both joins with the texts need the same three columns, so that they share one shuffle
+    keyed = docs.select(F.coalesce(id_long, F.lit(NO_ID)).alias("dkey"), F.xxhash64(text).alias("tk"), text.alias("text"))
     anchors = keyed.select("dkey", "tk", "text").mapInArrow(_anchor_rows(length, gram), _ANCHORS)
 
     of_class = Window.partitionBy("ah", "ch").orderBy("dkey", "tk", "pos")
@@ -284,7 +287,7 @@ def find_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_
     marks = contexts.repartition("ah").sortWithinPartitions("ah").mapInArrow(_suffix_rows(length), _MARKS)
     merged = marks.groupBy("dkey", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    final = keyed.join(merged, ["dkey", "tk"], "left").select("doc_id", "text", F.coalesce("marks", empty).alias("marks"))
+    final = keyed.join(merged, ["dkey", "tk"], "left").select(F.nullif("dkey", F.lit(NO_ID)).alias("doc_id"), "text", F.coalesce("marks", empty).alias("marks"))
     return final.mapInArrow(_digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,stop:long>>")
 
 
