@@ -10,10 +10,12 @@ its slots are filled, since later ranks are larger (the early stopping).
 
 Documents with equal shingle sets are one class, and only its smallest doc_id
 goes on. Bands of the signature are buckets. In each bucket members are paired
-with its smallest member only; verified links are grouped; then, in buckets
-that still hold more than one component, pairs of different components are
-verified too. So every pair that shares a bucket is either verified or already
-linked through others, and a large group never gives all its pairs. With 32
+with its smallest member only, and verified links are grouped. In buckets that
+then still hold several components, pairs of different components are compared
+inside the task, by signature and by what sets them apart from a common
+document; only links and the few undecided pairs leave it (see _bucket_pairs).
+So every pair that shares a bucket is either compared or already linked through
+others, and a large group never gives all its pairs. With 32
 bands of 4 values a pair of similarity 0.85 shares no bucket with probability
 6e-11, one of 0.8 with 5e-8.
 
@@ -87,18 +89,20 @@ def _sketch_rows(n: int, bands: int, rows: int, text_index: int = 1):
     def sketch(batches):
         for batch in batches:
             data, offsets = K.string_buffer(batch.column(text_index))
-            sizes, high, low, keys = [], [], [], []
+            sizes, high, low, keys, kept = [], [], [], [], []
             for a, b in K.row_groups(offsets, K.PIECE):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 sizes += [len(s) for s in sets]
                 high += [int(s.sum(dtype=_U).astype(np.int64)) for s in sets]
                 low += [int(K.mix(s).sum(dtype=_U).astype(np.int64)) for s in sets]
                 full = [s for s in sets if len(s)]
-                signed = iter(_bands(super_minhash(full, bands * rows), bands, rows)) if full else iter(())
+                signatures = super_minhash(full, bands * rows)
+                signed, short = iter(_bands(signatures, bands, rows)), iter((K.mix(signatures) >> _U(48)).astype(np.uint16))
                 keys += [next(signed) if len(s) else None for s in sets]
+                kept += [next(short).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(high, type=pa.int64()), pa.array(low, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                [batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(high, type=pa.int64()), pa.array(low, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(kept, type=pa.binary())],
+                names=["doc_id", "n_shingles", "d1", "d2", "bands", "signature"],
             )
 
     return sketch
@@ -123,23 +127,111 @@ def _set_rows(n: int):
     return sets
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets are similar enough; each set is built once."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(n), "doc_id long, shingles array<long>"))
+def _sets_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ids, each set built once."""
+    return materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(n), "doc_id long, shingles array<long>"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
+def _compared(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, near): whether the full shingle sets of each pair are similar enough, and whether they share half."""
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    sizes = F.size("sa") + F.size("sb")
-    enough = 100 * common >= percent * (sizes - common)
-    possible = 100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))
-    return materialize(both.where(possible).where(enough).select("a", "b"))
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
+    union = F.col("total") - F.col("common")
+    return materialize(both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"), (2 * F.col("common") >= union).alias("near")))
+
+
+def _bucket_pairs(slots: int, percent: int, block: int = 1_024):
+    """Pairs of different parts inside each bucket, from rows sorted by bucket (bucket, doc_id, part, n, cluster, d, signature).
+
+    Pairs that agree in too few slots are passed over. Of the others, pairs of
+    one cluster that both know what sets them apart from its first document
+    (d) are decided here: |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Only links and
+    undecided pairs leave.
+    """
+    # six standard deviations below the threshold
+    share = percent / 100
+    least = (share - 6 * (share * (1 - share) / slots) ** 0.5) * slots
+    c = (100 - percent) / (100 + percent)
+
+    def decide(own):
+        bucket, doc, part, n, cluster = (own.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        signatures = np.frombuffer(b"".join(own.column(6).to_pylist()), dtype=np.uint16).reshape(len(doc), slots)
+        d = own.column(5).to_pylist()
+        a_out, b_out, sure_out = [], [], []
+        for i in range(0, len(doc), block):
+            for j in range(i, len(doc), block):
+                x, y = slice(i, min(i + block, len(doc))), slice(j, min(j + block, len(doc)))
+                possible = (part[x, None] != part[None, y]) & (doc[x, None] < doc[None, y]) if i == j else part[x, None] != part[None, y]
+                possible &= (100 * n[x, None] >= percent * n[None, y]) & (100 * n[None, y] >= percent * n[x, None])
+                p, q = np.nonzero(possible)
+                if not len(p):
+                    continue
+                agree = np.concatenate([(signatures[p[k : k + 65_536] + i] == signatures[q[k : k + 65_536] + j]).sum(axis=1) for k in range(0, len(p), 65_536)])
+                going = agree >= least
+                for r, t in zip((p[going] + i).tolist(), (q[going] + j).tolist(), strict=True):
+                    known = d[r] is not None and d[t] is not None and cluster[r] == cluster[t]
+                    if known:
+                        if not isinstance(d[r], frozenset):
+                            d[r] = frozenset(d[r])
+                        if not isinstance(d[t], frozenset):
+                            d[t] = frozenset(d[t])
+                        if len(d[r]) + len(d[t]) - 2 * len(d[r] & d[t]) > c * (n[r] + n[t]) + 1e-9:
+                            continue
+                    a_out.append(min(doc[r], doc[t]))
+                    b_out.append(max(doc[r], doc[t]))
+                    sure_out.append(known)
+        return pa.RecordBatch.from_arrays([pa.array(a_out, type=pa.int64()), pa.array(b_out, type=pa.int64()), pa.array(sure_out, type=pa.bool_())], names=["a", "b", "sure"])
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            keys = now.column(0).to_numpy()
+            if not len(keys):
+                continue
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a > 1:
+                    yield decide(now.slice(a, b - a).combine_chunks())
+            held = now.slice(cuts[-1]).combine_chunks().to_batches()[0]
+        if held is not None and len(held) > 1:
+            yield decide(pa.Table.from_batches([held]))
+
+    return work
+
+
+def _links_across(sketches: DataFrame, sets: DataFrame, stars: DataFrame, rest: DataFrame, percent: int, slots: int) -> DataFrame:
+    """Links between different parts of one bucket. rest: (bucket, doc_id, part); stars: the compared pairs so far.
+
+    Documents that share half of their shingles with hubs form clusters, the
+    first document of a cluster being the one with most links. What sets a
+    member apart from it is short for near copies, and decides their pairs
+    exactly without their sets (see _bucket_pairs).
+    """
+    clusters = connected_components(stars.where("near").select("a", "b")).withColumnsRenamed({"node": "doc_id", "root": "cluster"})
+    linked = stars.where("linked")
+    degree = linked.select(F.col("a").alias("doc_id")).unionByName(linked.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("links"))
+    first = materialize(clusters.join(degree, "doc_id", "left").groupBy("cluster").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), (-F.col("doc_id")).alias("id"))).alias("m")).select("cluster", (-F.col("m.id")).alias("first")))
+    own = rest.select("doc_id").distinct().join(sets, "doc_id").join(clusters, "doc_id", "left")
+    of_first = materialize(first.join(sets, first["first"] == sets.doc_id).select("cluster", F.col("shingles").alias("s0")))
+    apart = own.join(of_first, "cluster", "left").select("doc_id", "cluster", F.size("shingles").alias("n"), F.concat(F.array_except("shingles", "s0"), F.array_except("s0", "shingles")).alias("d"))
+    apart = materialize(apart.select("doc_id", F.coalesce("cluster", "doc_id").alias("cluster"), "n", F.when(F.size("d") <= F.col("n"), F.col("d")).alias("d")))
+    signed = materialize(apart.join(sketches.select("doc_id", "signature").where("signature is not null").dropDuplicates(["doc_id"]), "doc_id"))
+    entries = rest.join(signed, "doc_id").select("bucket", "doc_id", "part", "n", "cluster", "d", "signature")
+    found = materialize(entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(slots, percent), "a long, b long, sure boolean").distinct())
+    checked = _compared(sets, found.where("not sure").select("a", "b"), percent)
+    return found.where("sure").select("a", "b").unionByName(checked.where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: links where 100 * intersection >= percent * union of shingle sets."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    sketches = materialize(texts.mapInArrow(_sketch_rows(n, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
+    sketches = materialize(texts.mapInArrow(_sketch_rows(n, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"))
     linked = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(linked.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1").select("d1", "d2", F.col("n_shingles").alias("n"), "rep"))
     member = linked.join(classes, (linked.d1 == classes.d1) & (linked.d2 == classes.d2) & (linked.n_shingles == classes.n), "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands"))
@@ -149,18 +241,17 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, bands: in
     crowded = materialize(entries.join(hubs, "bucket"))
     pairs = materialize(crowded.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
     same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = _verified(texts, pairs, n, percent).unionByName(same)
+    sets = _sets_of(texts, _ends(pairs), n)
+    stars = _compared(sets, pairs, percent)
+    links = stars.where("linked").select("a", "b").unionByName(same)
     grouped = materialize(connected_components(links))
 
     # what is left: pairs of one bucket that lie in different components
     placed = materialize(crowded.join(grouped, crowded.doc_id == grouped.node, "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("part")))
-    open_buckets = materialize(placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket"))
-    rest = materialize(placed.join(open_buckets, "bucket"))
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_verified(texts, more, n, percent))
+    split = materialize(placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket"))
+    rest = materialize(placed.join(split, "bucket"))
+    if not rest.isEmpty():
+        links = materialize(links.unionByName(_links_across(sketches, sets, stars, rest, percent, bands * rows)))
         grouped = materialize(connected_components(links))
 
     own = sketches.select("doc_id", "n_shingles").join(grouped, sketches.doc_id == grouped.node, "left")
