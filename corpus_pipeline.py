@@ -11,9 +11,13 @@ from tallgrass.llm.packing import pack
 from tallgrass.llm.secrets import redact_secrets
 from tallgrass.session import scratch_path, table
 
+#: Rows in an Arrow batch: whole texts are long, so fewer than Spark's default.
+BATCH_ROWS = 2_048
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those whose language stays unclear (operator 7)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return keep_identified(docs)
 
 

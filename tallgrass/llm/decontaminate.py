@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallgrass.llm import textkernel as K
+from tallgrass.llm.common import shielded
 from tallgrass.session import materialize, table
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
@@ -146,7 +147,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, tex
     block, passes = next(blocks, _Block([])), 0
     while block is not None:
         shared = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner(shared, text_column, passes == 0), schema)
+        out = out.mapInArrow(K.returning(_scanner(shared, text_column, passes == 0)), schema)
         passes += 1
         block = next(blocks, None)
         if block is not None:
@@ -177,9 +178,8 @@ def _scanner(shared, text_column: str, is_first: bool):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words: int = 5, **kw) -> DataFrame:
     """docs without those that hold min_words consecutive hit words or more; the columns of docs only."""
-    found = find_contamination(docs, benchmark, n=n, **kw)
     leaked = F.exists("hit_words", lambda s: s["last"] - s["first"] >= min_words)
-    return found.where(~leaked).select(*[f"`{c}`" for c in docs.columns])
+    return shielded(docs, set(_ADDED), lambda d: find_contamination(d, benchmark, n=n, **kw).where(~leaked))
 
 
 def cut_spans(text: str | None, hit_words: list) -> str | None:
@@ -199,10 +199,9 @@ def cut_spans(text: str | None, hit_words: list) -> str | None:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", **kw) -> DataFrame:
     """docs with the hit spans cut out of the texts; the columns of docs only."""
-    found = find_contamination(docs, benchmark, text_column=text_column, **kw)
     cut = F.pandas_udf(lambda t, s: t.combine(s, cut_spans), "string")
     column = F.when(F.size("hit_words") > 0, cut(F.col(text_column), F.col("hit_words"))).otherwise(F.col(text_column))
-    return found.withColumn(text_column, column).select(*[f"`{c}`" for c in docs.columns])
+    return shielded(docs, set(_ADDED), lambda d: find_contamination(d, benchmark, text_column=text_column, **kw).withColumn(text_column, column))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallgrass.llm import textkernel as K
+from tallgrass.llm.common import shielded
 from tallgrass.session import table
 
 ORDERS = (1, 2, 3)
@@ -87,12 +88,20 @@ def _segments(rows, codes, bounds, bits):
         yield buckets[keep], owner[:count][keep]
 
 
+def _slices(batches, text_column: str):
+    """The batches in slices of bounded text, so that few Python strings live at once."""
+    for batch in batches:
+        _, offsets = K.string_buffer(batch.column(text_column))
+        for a, b in K.row_groups(offsets, K.PIECE):
+            yield batch.slice(a, b - a)
+
+
 def _trainer(languages: list[str], bits: int):
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
         totals = np.zeros((len(languages), 1 << bits), dtype=np.int64)
-        for batch in batches:
+        for batch in _slices(batches, "text"):
             langs = np.array([index[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
             for rows, codes, bounds in _pieces(batch.column("text").to_pylist()):
                 for buckets, owner in _segments(rows, codes, bounds, bits):
@@ -151,7 +160,7 @@ def train(labelled: DataFrame, *, text_column: str = "text", lang_column: str =
     for name in languages:
         if counts[name] > rows_per_language:
             wanted = F.when(F.col("lang") == name, rows_per_language / counts[name]).otherwise(wanted)
-    parts = rows.where(share < wanted).select("text", "lang").mapInArrow(_trainer(languages, bits), "lang int, bucket int, n long")
+    parts = rows.where(share < wanted).select("text", "lang").mapInArrow(K.returning(_trainer(languages, bits)), "lang int, bucket int, n long")
     found = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     totals = np.zeros((1 << bits, len(languages)))
     totals[found["bucket"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
@@ -168,11 +177,11 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_column: str = "text")
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(batches):
-        for batch in batches:
+        for batch in _slices(batches, text_column):
             names, scores = shared.value.score(batch.column(text_column).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, K.arrow_strings(names), pa.array(scores, type=pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return base.mapInArrow(score, schema)
+    return base.mapInArrow(K.returning(score), schema)
 
 
 def remainder(column: str, modulus: int) -> Column:
@@ -183,7 +192,7 @@ def remainder(column: str, modulus: int) -> Column:
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None, *, min_score: float = 0.35) -> DataFrame:
     """docs whose language is identified; the columns of docs only. Texts without a letter, and those whose best language is less than min_score likely, go."""
     model = model or train(docs)
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*[f"`{c}`" for c in docs.columns])
+    return shielded(docs, {"lang_pred", "score"}, lambda d: predict(d, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)))
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

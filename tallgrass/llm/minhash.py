@@ -129,7 +129,7 @@ def _set_rows(n: int):
 
 def _sets_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(doc_id, shingles) of the documents in ids, each set built once."""
-    return materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(n), "doc_id long, shingles array<long>"))
+    return materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(K.returning(_set_rows(n)), "doc_id long, shingles array<long>"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _links_across(sketches: DataFrame, sets: DataFrame, stars: DataFrame, rest:
     apart = materialize(apart.select("doc_id", F.coalesce("cluster", "doc_id").alias("cluster"), "n", F.when(F.size("d") <= F.col("n"), F.col("d")).alias("d")))
     signed = materialize(apart.join(sketches.select("doc_id", "signature").where("signature is not null").dropDuplicates(["doc_id"]), "doc_id"))
     entries = rest.join(signed, "doc_id").select("bucket", "doc_id", "part", "n", "cluster", "d", "signature")
-    found = materialize(entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(slots, percent), "a long, b long, sure boolean").distinct())
+    found = materialize(entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(K.returning(_bucket_pairs(slots, percent)), "a long, b long, sure boolean").distinct())
     checked = _compared(sets, found.where("not sure").select("a", "b"), percent)
     return found.where("sure").select("a", "b").unionByName(checked.where("linked").select("a", "b"))
 
@@ -231,7 +231,7 @@ def _links_across(sketches: DataFrame, sets: DataFrame, stars: DataFrame, rest:
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: links where 100 * intersection >= percent * union of shingle sets."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    sketches = materialize(texts.mapInArrow(_sketch_rows(n, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"))
+    sketches = materialize(texts.mapInArrow(K.returning(_sketch_rows(n, bands, rows)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"))
     linked = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(linked.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1").select("d1", "d2", F.col("n_shingles").alias("n"), "rep"))
     member = linked.join(classes, (linked.d1 == classes.d1) & (linked.d2 == classes.d2) & (linked.n_shingles == classes.n), "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands"))

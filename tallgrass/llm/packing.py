@@ -181,7 +181,7 @@ def _packer(capacities: tuple[int, ...], counter, price, window_rows: int):
 
 def pack(docs: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, counter: Callable[[pa.Array], np.ndarray] = word_counts, price: Callable[[int], float] = float, window_rows: int = 65_536, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each piece of each document: its tokens [first_token, first_token + n_tokens) lie at bin_offset of bin_id, whose capacity is bin_size."""
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(_packer(tuple(capacities), counter, price, window_rows), SCHEMA)
+    return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(K.returning(_packer(tuple(capacities), counter, price, window_rows)), SCHEMA)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

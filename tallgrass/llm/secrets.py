@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,7 +119,7 @@ def _scan_rows(rules: tuple[Rule, ...], text_column: str):
 def find_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
     """docs with secrets array<struct<kind,start,end>>, by start, then rule order."""
     base = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() != "secrets"])
-    return base.mapInArrow(_scan_rows(rules, text_column), T.StructType([*base.schema.fields, T.StructField("secrets", _SPANS)]))
+    return base.mapInArrow(K.returning(_scan_rows(rules, text_column)), T.StructType([*base.schema.fields, T.StructField("secrets", _SPANS)]))
 
 
 def redact(text: str | None, spans, mark: str) -> str | None:
@@ -133,15 +134,21 @@ def redact(text: str | None, spans, mark: str) -> str | None:
     return "".join([*out, text[upto:]])
 
 
-def _redact_rows(text_column: str, mark: str):
+def _redact_rows(rules: tuple[Rule, ...], text_column: str, mark: str):
+    """Scan and redact in one pass, so that a task has one Python worker."""
+
     def work(batches):
-        for batch in batches:
-            texts, spans = batch.column(text_column).to_pylist(), batch.column("secrets")
+        for batch in _scan_rows(rules, text_column)(batches):
+            spans = batch.column("secrets")
             touched = np.flatnonzero(np.diff(np.asarray(spans.offsets)) > 0).tolist()
-            for i in touched:
-                texts[i] = redact(texts[i], spans[i].as_py(), mark)
-            columns = [pa.array(texts, type=pa.string()) if name == text_column else batch.column(name) for name in batch.schema.names if name != "secrets"]
-            yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != "secrets"])
+            texts = batch.column(text_column)
+            if touched:
+                new = pa.array([redact(texts[i].as_py(), spans[i].as_py(), mark) for i in touched], type=texts.type)
+                mask = np.zeros(len(batch), dtype=bool)
+                mask[touched] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), new)
+            names = [x for x in batch.schema.names if x != "secrets"]
+            yield pa.RecordBatch.from_arrays([texts if x == text_column else batch.column(x) for x in names], names=names)
 
     return work
 
@@ -150,8 +157,7 @@ def redact_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text_col
     """docs with every secret replaced by mark; the columns of docs only. A column length_column, if there is one, follows the new text."""
 
     def work(moved: DataFrame) -> DataFrame:
-        found = find_secrets(moved, rules=rules, text_column=text_column)
-        done = found.mapInArrow(_redact_rows(text_column, mark), moved.schema)
+        done = moved.mapInArrow(K.returning(_redact_rows(rules, text_column, mark)), moved.schema)
         if length_column in moved.columns:
             kind = moved.schema[length_column].dataType
             done = done.withColumn(length_column, F.when(F.col(text_column).isNull(), F.col(length_column)).otherwise(F.length(text_column).cast(kind)))
