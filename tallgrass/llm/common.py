@@ -47,6 +47,15 @@ def _union_find(batches):
     yield stars()
 
 
+#: Links of one task, and the least number of tasks that share them.
+LINKS_A_TASK, LEAST_TASKS = 50_000, 8
+
+
+def _gathered(links: DataFrame, count: int) -> DataFrame:
+    """links in a number of partitions that grows with their count, without a shuffle."""
+    return links.coalesce(max(LEAST_TASKS, -(-count // LINKS_A_TASK)))
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
@@ -57,16 +66,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Union-find inside each partition shortens the links to stars; alternating
     large-star and small-star rounds (each a grouped minimum and a join) join
-    the stars across partitions in a logarithmic number of rounds. Nothing is
-    collected; every round is written to the shared folder.
+    the stars across partitions in a logarithmic number of rounds. Links are
+    read in partitions sized by their count, however many wrote them, which
+    lets union-find join more of them. Nothing is collected; every round is
+    written to the shared folder.
     """
     a, b = edges.columns[:2]
     clean = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    stars = materialize(clean.mapInArrow(_union_find, "a long, b long").distinct())
+    links = materialize(clean)
+    stars = materialize(_gathered(links, links.count()).mapInArrow(_union_find, "a long, b long").distinct())
     before = _fingerprint(stars)
     while before[0]:
+        stars = _gathered(stars, before[0])
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
