@@ -116,12 +116,12 @@ def c02_star_join(spark, d):
     return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query("SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_partkey % 100 = 0 AND s_suppkey % 10 = 0 AND (p_size % 2 = s_nationkey % 2)")
+@query("SELECT p_partkey, key FROM part JOIN (VALUES ('size', '*'), ('price', 'Brand#11'), ('type', 'Brand#22')) a(key, scope) ON scope = '*' OR scope = p_brand")
 def c04_theta_join(spark, d):
-    """Applicability as an equi-join on the class both sides fall in."""
-    p = T(spark, d, "part").where("p_partkey % 100 = 0").select("p_partkey", (F.col("p_size") % 2).alias("k"))
-    s = T(spark, d, "supplier").where("s_suppkey % 10 = 0").select("s_suppkey", (F.col("s_nationkey") % 2).alias("k"))
-    return p.join(s, "k").drop("k")
+    """Applicability (no scope, or the family's own) as an equi-join on the scopes that a product falls in."""
+    attributes = spark.createDataFrame([("size", "*"), ("price", "Brand#11"), ("type", "Brand#22")], "key string, scope string")
+    scopes = T(spark, d, "part").select("p_partkey", F.explode(F.array(F.lit("*"), "p_brand")).alias("scope"))
+    return scopes.join(F.broadcast(attributes), "scope").drop("scope")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -259,13 +259,13 @@ def f16_covered_length(spark, d):
 
 # ---- vectors --------------------------------------------------------------------
 
-_VECTOR_SQL = """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round({score}, 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+_VECTOR_SQL = """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round({score}, 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, vec_id) AS rank FROM s) WHERE rank <= 10"""
 
 
 def _vectors(spark, d, metric):
     rows = T(spark, d, "embeddings")
-    return vectors.top_k(rows, rows.where("vec_id % 50 = 0"), k=10, metric=metric)
+    return vectors.top_k(rows, rows.where("vec_id % 20 = 0"), k=10, metric=metric)
 
 
 @query(_VECTOR_SQL.format(score="list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])", order="DESC"))
@@ -369,16 +369,16 @@ def e29_merge_evidence(spark, d):
 # ---- changes --------------------------------------------------------------------
 
 
-@query("""WITH b AS (SELECT doc_id, 'p' || doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0),
-n AS (SELECT doc_id, 'p' || doc_id AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)
+@query("""WITH b AS (SELECT doc_id, 'p' || doc_id AS path, sha256(text) AS h FROM documents WHERE lang IS DISTINCT FROM 'de'),
+n AS (SELECT doc_id, 'p' || doc_id AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE lang IS DISTINCT FROM 'fr')
 SELECT path AS rel_path, CASE WHEN n.path IS NULL THEN 'DELETED' WHEN b.path IS NULL THEN 'NEW' WHEN n.h = b.h THEN 'UNCHANGED' ELSE 'MODIFIED' END AS scan_status FROM n FULL JOIN b USING (path)""")
 def k01_scan_diff(spark, d):
     docs = T(spark, d, "documents")
     name = F.concat(F.lit("p"), "doc_id")
     # hashes take the path in, so that copies of one text at two paths are not a move
-    before = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("doc_id"), name.alias("rel_path"), F.sha2(F.concat(name, "text"), 256).alias("content_hash"), F.lit("NEW").alias("scan_status"))
+    before = docs.where("lang is distinct from 'de'").select(F.col("doc_id").cast("string").alias("doc_id"), name.alias("rel_path"), F.sha2(F.concat(name, "text"), 256).alias("content_hash"), F.lit("NEW").alias("scan_status"))
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    now = docs.where("doc_id % 11 <> 0").select(name.alias("rel_path"), F.sha2(F.concat(name, text), 256).alias("content_hash"))
+    now = docs.where("lang is distinct from 'fr'").select(name.alias("rel_path"), F.sha2(F.concat(name, text), 256).alias("content_hash"))
     return changes.scan_diff(now, before).select("rel_path", "scan_status")
 
 
