@@ -66,24 +66,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Union-find inside each partition shortens the links to stars; alternating
     large-star and small-star rounds (each a grouped minimum and a join) join
-    the stars across partitions in a logarithmic number of rounds. Links are
-    read in partitions sized by their count, however many wrote them, which
-    lets union-find join more of them. Nothing is collected; every round is
+    the stars across partitions in a logarithmic number of rounds. Every step
+    runs in partitions sized by the count of links, however many wrote them,
+    which lets union-find join more of them and writes fewer files. Nothing is collected; every round is
     written to the shared folder.
     """
     a, b = edges.columns[:2]
     clean = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     links = materialize(clean)
-    stars = materialize(_gathered(links, links.count()).mapInArrow(_union_find, "a long, b long").distinct())
+    count = links.count()
+    stars = materialize(_gathered(_gathered(links, count).mapInArrow(_union_find, "a long, b long").distinct(), count))
     before = _fingerprint(stars)
     while before[0]:
-        stars = _gathered(stars, before[0])
+        count = before[0]
+        stars = _gathered(stars, count)
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = _gathered(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), count)
+        large = materialize(_gathered(large.distinct(), count))
+        least = materialize(_gathered(large.groupBy("a").agg(F.min("b").alias("m")), count))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        stars = materialize(small.where("a <> b").distinct())
+        stars = materialize(_gathered(_gathered(small.where("a <> b"), count).distinct(), count))
         now = _fingerprint(stars)
         if now == before:
             break
