@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import text as X
 from tallgrass.operators import changes, facts, relational, structure, vectors
-from tallgrass.plans import catalog
+from tallgrass.plans import catalog, lookups  # noqa: F401  (lookups registers its queries)
 from tallgrass.sources import markdown
 from tallgrass.sources.html import parse_html
 from tallgrass.streaming import state
