@@ -168,6 +168,21 @@ def test_fuzzy_passages(spark, none):
     assert chaining.chain([0, 10, 5], [0, 10, 30], [5, 5, 5])[0] == [0, 1]
 
 
+def test_fuzzy_passages_apart(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    rows = []
+    for d, (gap, other_gap) in enumerate([(0, 31), (0, 200), (0, 500), (60, 60)]):
+        a, b = words(60), words(60)
+        rows += [(2 * d, " ".join(words(20) + a + words(gap) + b + words(20))), (2 * d + 1, " ".join(words(40) + a + words(other_gap) + b + words(9)))]
+    got = {r.doc_id: r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, gap in enumerate([31, 200, 500, 60]):
+        r = got[2 * d + 1]
+        assert (r.class_id, r.n_links) == (2 * d, 1)
+        assert [(p.first, p.last) for p in r.passages] == [(40, 100), (100 + gap, 160 + gap)]
+    assert chaining.parts([1, 2, 3, 9, 9, 4, 5, 6], [1, 2, 3, 4, 5, 6], [(0, 0, 3), (5, 3, 3)], 0.8, 3) == [(0, 3, 0, 3), (5, 8, 3, 6)]
+
+
 def test_secrets(spark, docs, none):
     a = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
     rng = random.Random(1)
