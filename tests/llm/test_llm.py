@@ -183,6 +183,24 @@ def test_fuzzy_passages_apart(spark):
     assert chaining.parts([1, 2, 3, 9, 9, 4, 5, 6], [1, 2, 3, 4, 5, 6], [(0, 0, 3), (5, 3, 3)], 0.8, 3) == [(0, 3, 0, 3), (5, 8, 3, 6)]
 
 
+def test_fuzzy_passages_first_seen_apart(spark):
+    rng = random.Random(10)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    rows, want = [], {}
+    for case, (holders, edits) in enumerate([(1, 0), (6, 0), (1, 2)]):
+        passage, d = words(60 if edits else 75), 100 * case
+        for k in range(holders):  # halves of the passage, which alone are too short
+            rows += [(d + 2 * k, " ".join(words(30) + passage[:30] + words(30))), (d + 2 * k + 1, " ".join(words(30) + passage[30:] + words(30)))]
+        copy = list(passage)
+        for k in range(edits):
+            copy[20 * k + 15] = words(1)[0]
+        rows += [(d + 50, " ".join(words(40) + passage + words(20))), (d + 51, " ".join(words(10) + copy + words(50)))]
+        want |= {d + 50: d + 50, d + 51: d + 50}
+    for parts in (1, 3):
+        got = {r.doc_id: r.class_id for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")).collect()}
+        assert got == {d: want.get(d, d) for d, _ in rows}
+
+
 def test_secrets(spark, docs, none):
     a = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
     rng = random.Random(1)
