@@ -83,7 +83,7 @@ class _Block:
             order = np.argsort(-width, kind="stable")
             left = np.append(np.cumsum(width[order][::-1])[::-1], 0.0)  # what the terms from here on can add
             base = least.sum()
-            essential = max(1, int(np.searchsorted(-(base + left), -limit, side="right"))) if np.isfinite(limit) else len(order)
+            essential = min(len(order), max(1, int(np.searchsorted(-(base + left), -limit, side="right")))) if np.isfinite(limit) else len(order)
             terms = order[:essential]
             partial = base + (q[terms] @ columns[terms] - least[terms].sum())
             alive = np.flatnonzero((partial + left[essential] >= limit) & (ids != own))

@@ -128,6 +128,14 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).isEmpty()
 
 
+def test_top_k_of_equal_vectors(spark):
+    for rows in ([(i, [1.0, -2.0]) for i in range(12)], [(i, [float(i % 3), 1.0]) for i in range(9)] + [(9, [2.0, 1.0])]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        want = sorted((q, r + 1, i, s) for q, x in rows for r, (s, i) in enumerate(sorted(((int(65536 * np.dot(x, y)), i) for i, y in rows if i != q), key=lambda p: (-p[0], p[1]))[:5]))
+        for parts in (1, len(rows)):  # the latter leaves partitions of one row
+            assert sorted(map(tuple, topk.top_k(df.repartitionByRange(parts, "vec_id"), df).collect())) == want
+
+
 def test_near_duplicates(docs, texts, none):
     sets = []
     for t in texts:
