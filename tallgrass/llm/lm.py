@@ -139,7 +139,8 @@ def _builder(segments: int):
         for batch in batches:
             keys = batch.column(0).to_numpy().view(_U)
             levels = batch.column(1).to_numpy()
-            expanded, level = np.repeat(keys, levels), np.concatenate([np.arange(1, n + 1) for n in levels.tolist()]) if len(levels) else np.zeros(0, dtype=np.int64)
+            expanded = np.repeat(keys, levels)
+            level = np.arange(1, len(expanded) + 1) - np.repeat(np.cumsum(levels, dtype=np.int64) - levels, levels)
             at, bits = _positions(expanded, level, segments)
             order = np.argsort(at, kind="stable")
             heads = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) > 0))) if len(order) else []
@@ -207,10 +208,10 @@ def train(texts: DataFrame, *, text_column: str = "text", max_bits: int = MAX_BI
     order = np.argsort(frequent)
     frequent, counts = frequent[order], found["n"].to_numpy()[order]
     shared = spark.sparkContext.broadcast((frequent,))
-    pairs = materialize(rows.mapInArrow(_pair_counter(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    pairs = materialize(rows.mapInArrow(_pair_counter(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     pair_levels = {r["level"]: r["n"] for r in pairs.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
     word_keys = int((np.floor(np.log2(np.maximum(counts, 1))) + 1).sum()) if len(counts) else 0
-    least_pair = 2
+    least_pair = 1
     while (keys := word_keys + sum(x * n for x, n in pair_levels.items() if 1 << (x - 1) >= least_pair)) * BITS_A_KEY > max_bits and least_pair < 1 << 62:
         least_pair *= 2
     segments = max(1, -(-keys * BITS_A_KEY // SEGMENT_BITS))

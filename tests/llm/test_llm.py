@@ -263,6 +263,12 @@ def test_lm(docs, texts, none):
     assert lm.score(none, lm.train(none)).isEmpty()
 
 
+def test_lm_pairs_seen_once(spark):
+    df = spark.createDataFrame([(1, "one two three four five")], "doc_id long, text string")
+    got = lm.score(df, lm.train(df)).first()
+    assert abs(got.score - 6 * log10(0.7 + 0.3 * 2 / (6 + 6 + 1))) < 1e-9
+
+
 def test_packing(docs, none):
     rng = random.Random(4)
     for _ in range(20):
