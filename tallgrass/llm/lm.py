@@ -1,14 +1,16 @@
 """Operator 10: language-model scores from a log-frequency Bloom filter.
 
-Training counts every word exactly (64-bit hashes, summed by batch, then by
-key) and every pair of neighbouring words whose words are both frequent. The
-filter stores quantised counts: an n-gram of count c is inserted with the
+Training counts every word and every pair of neighbouring words exactly (64-bit
+hashes, summed by batch, then by key), pairs seen once included. The filter
+stores quantised counts: an n-gram of count c is inserted with the
 levels 1 .. 1 + floor(log2 c); looking up means probing levels upwards until
 one is missing, and a level's middle count is the estimate. The filter is
 blocked (all bits of a key lie in one 4 KB segment), built segment by segment
-on the executors, collected and broadcast. It never exceeds ``max_bits``: the
-least count of the pairs it holds is doubled until the keys fit, by counts over
-all data; pairs below it back off to words.
+on the executors, collected and broadcast. Its size follows from the number of
+keys, of words and of pairs, none of which is dropped. The filter of words is
+one broadcast. That of pairs is cut into parts of at most ``max_bits``, one
+broadcast at a time: each takes a pass over the texts, which scores the tokens
+whose pair falls into the part.
 
 The score interpolates: P(w | u) = b * c(u w) / c(u) + (1 - b) * P(w) with
 P(w) = (c(w) + 1) / (N + V + 1), and P(w) alone after an unknown u.
@@ -25,6 +27,7 @@ each; very long texts are scored whole; extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,8 @@ END = 0x5851F42D4C957F2D
 SEGMENT_BITS = 1 << 15
 BITS_A_KEY = 10
 PROBES = 5
-MAX_BITS = 1 << 28
+#: Bits of the pair filter that are broadcast at once.
+MAX_BITS = 1 << 29
 MAX_FREQUENT = 1 << 19
 BACK_OFF = 0.7
 #: Tokens gathered before counts leave a worker.
@@ -91,34 +95,18 @@ def _count_words(batches):
         yield _counted(held)
 
 
-def _table_of(hashes: np.ndarray, bits: int = 22) -> np.ndarray:
-    seen = np.zeros(1 << bits, dtype=bool)
-    seen[(hashes >> _U(64 - bits)).astype(np.int64)] = True
-    return seen
-
-
-def _seen(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return table[(hashes >> _U(64 - (len(table).bit_length() - 1))).astype(np.int64)]
-
-
-def _pair_counter(shared):
-    def count(batches):
-        table = _table_of(shared.value[0])
-        held, size = [], 0
-        for batch in batches:
-            data, offsets = K.string_buffer(batch.column(0))
-            for a, b in K.row_groups(offsets, K.PIECE):
-                left, right = _pairs(*_tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                both = _seen(table, left) & _seen(table, right)
-                held.append(_pair(left[both], right[both]))
-                size += int(both.sum())
-                if size >= GATHER:
-                    yield _counted(held)
-                    held, size = [], 0
-        if held:
-            yield _counted(held)
-
-    return count
+def _count_pairs(batches):
+    held, size = [], 0
+    for batch in batches:
+        data, offsets = K.string_buffer(batch.column(0))
+        for a, b in K.row_groups(offsets, K.PIECE):
+            held.append(_pair(*_pairs(*_tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))))
+            size += len(held[-1])
+            if size >= GATHER:
+                yield _counted(held)
+                held, size = [], 0
+    if held:
+        yield _counted(held)
 
 
 def _positions(keys: np.ndarray, levels: np.ndarray, segments: int):
@@ -156,30 +144,57 @@ def _builder(segments: int):
 
 @dataclass
 class Model:
-    """What the workers need: the filter, the frequent words with exact counts, and totals. words: the table of all words."""
+    """What scoring needs: the filter of words, the segments of the pair filter (built, part_segments to a part), the frequent words with exact counts, and totals. words: the table of the other words."""
 
     filter: np.ndarray
     segments: int
+    pairs: DataFrame
+    pair_segments: int
+    part_segments: int
     frequent: np.ndarray
     frequent_counts: np.ndarray
     tokens: int
     distinct: int
     words: DataFrame
-    least_pair: int
 
-    def broadcast_part(self):
-        return self.frequent, self.frequent_counts, self.filter, self.segments, self.tokens, self.distinct
+    @property
+    def parts(self) -> int:
+        return -(-self.pair_segments // self.part_segments)
+
+    def broadcast_part(self, part: int):
+        """The words and one part of the pair filter."""
+        low = part * self.part_segments
+        high = min(low + self.part_segments, self.pair_segments)
+        pairs = _collected(self.pairs.where(F.col("segment").between(low, high - 1)), low, high)
+        return self.frequent, self.frequent_counts, self.filter, self.segments, (pairs, self.pair_segments, low, high), self.tokens, self.distinct
+
+
+def _segments_of(entries: DataFrame, keys: int) -> tuple[DataFrame, int]:
+    """(segment, bits) of the filter of entries (h, level), which hold so many levels in all; and the number of segments."""
+    segments = max(1, -(-keys * BITS_A_KEY // SEGMENT_BITS))
+    segment = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(segments), 32)
+    return entries.repartition(max(8, min(512, segments // 64)), segment).mapInArrow(_builder(segments), "segment long, bits binary"), segments
+
 
+def _collected(built: DataFrame, low: int, high: int) -> np.ndarray:
+    """The bytes of segments low to high."""
+    size = SEGMENT_BITS // 8
+    bits = np.zeros((high - low) * size, dtype=np.uint8)
+    for batch in built.toArrow().to_batches():
+        for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            bits[(at - low) * size : (at - low + 1) * size] |= np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+    return bits
 
-def lookup(filter_bits: np.ndarray, segments: int, keys: np.ndarray) -> np.ndarray:
-    """Estimated counts of n-gram keys: levels are probed upwards until one is missing."""
+
+def lookup(filter_bits: np.ndarray, segments: int, keys: np.ndarray, low: int = 0) -> np.ndarray:
+    """Estimated counts of n-gram keys: levels are probed upwards until one is missing. filter_bits begins with segment low."""
     level = np.zeros(len(keys), dtype=np.int64)
     alive = np.arange(len(keys))
     for probe in range(1, 64):
         if not len(alive) or not segments:
             break
         at, bits = _positions(keys[alive], np.full(len(alive), probe), segments)
-        base = at * (SEGMENT_BITS // 8)
+        base = (at - low) * (SEGMENT_BITS // 8)
         there = np.ones(len(alive), dtype=bool)
         for positions in bits:
             there &= (filter_bits[base + (positions >> 3)] >> (positions & 7).astype(np.uint8) & 1).astype(bool)
@@ -189,8 +204,7 @@ def lookup(filter_bits: np.ndarray, segments: int, keys: np.ndarray) -> np.ndarr
 
 
 def train(texts: DataFrame, *, text_column: str = "text", max_bits: int = MAX_BITS, max_frequent: int = MAX_FREQUENT) -> Model:
-    """Count texts and build the filter."""
-    spark = texts.sparkSession
+    """Count texts and build the filters. max_bits: bits of the pair filter that are broadcast at once; max_frequent: words whose exact counts are, the others' being joined."""
     rows = texts.select(F.col(text_column))
     words = materialize(rows.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     level = (F.floor(F.log2("n")) + 1).cast("int")
@@ -207,26 +221,17 @@ def train(texts: DataFrame, *, text_column: str = "text", max_bits: int = MAX_BI
     frequent = found["h"].to_numpy().view(_U)
     order = np.argsort(frequent)
     frequent, counts = frequent[order], found["n"].to_numpy()[order]
-    shared = spark.sparkContext.broadcast((frequent,))
-    pairs = materialize(rows.mapInArrow(_pair_counter(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    pair_levels = {r["level"]: r["n"] for r in pairs.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
-    word_keys = int((np.floor(np.log2(np.maximum(counts, 1))) + 1).sum()) if len(counts) else 0
-    least_pair = 1
-    while (keys := word_keys + sum(x * n for x, n in pair_levels.items() if 1 << (x - 1) >= least_pair)) * BITS_A_KEY > max_bits and least_pair < 1 << 62:
-        least_pair *= 2
-    segments = max(1, -(-keys * BITS_A_KEY // SEGMENT_BITS))
-    entries = top.unionByName(pairs.where(F.col("n") >= least_pair)).select("h", level.alias("level"))
-    segment = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(segments), 32)
-    parts = max(8, min(512, segments // 64))
-    built = entries.repartition(parts, segment).mapInArrow(_builder(segments), "segment long, bits binary").toArrow()
-    bits = np.zeros(segments * (SEGMENT_BITS // 8), dtype=np.uint8)
-    for at, raw in zip(built["segment"].to_pylist(), built["bits"].to_pylist(), strict=True):
-        bits[at * (SEGMENT_BITS // 8) : (at + 1) * (SEGMENT_BITS // 8)] |= np.frombuffer(raw, dtype=np.uint8)
-    return Model(bits, segments, frequent, counts, tokens, distinct, words.where(F.col("n") < least), least_pair)
+    word_bits, segments = _segments_of(words.select("h", level.alias("level")), sum(x * w for x, (w, _) in by_level.items()))
+    filter_bits = _collected(word_bits, 0, segments)
+    pairs = materialize(rows.mapInArrow(_count_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).select("h", level.alias("level")))
+    keys = pairs.agg(F.sum("level")).first()[0] or 0
+    pair_bits, pair_segments = _segments_of(pairs, keys)
+    return Model(filter_bits, segments, materialize(pair_bits), pair_segments, max(1, max_bits // SEGMENT_BITS), frequent, counts, tokens, distinct, words.where(F.col("n") < least))
 
 
 def _scorer(shared, back_off: float):
-    def score_group(data, offsets, frequent, counts, bits, segments, total, distinct):
+    def score_group(data, offsets, frequent, counts, bits, segments, pair_filter, total, distinct):
+        pair_bits, pair_segments, low, high = pair_filter
         tokens, bounds = _tokens(data, offsets)
         values, inverse = np.unique(tokens, return_inverse=True)
         at = np.minimum(np.searchsorted(frequent, values), max(0, len(frequent) - 1))
@@ -241,12 +246,15 @@ def _scorer(shared, back_off: float):
         c_left[1:] = estimate[inverse[:-1]]
         c_left[bounds[:-1]] = lookup(bits, segments, np.array([END], dtype=_U))[0]
         together = np.zeros(len(tokens))
-        could = np.flatnonzero((c_left > 0) & (estimate[inverse] > 0))
-        together[could] = np.minimum(lookup(bits, segments, _pair(left[could], right[could])), c_left[could])
+        pair_keys = _pair(left, right)
+        at = segment_of(pair_keys, pair_segments)
+        own = (at >= low) & (at < high)  # the other tokens are scored in other passes
+        could = np.flatnonzero(own & (c_left > 0) & (estimate[inverse] > 0))
+        together[could] = np.minimum(lookup(pair_bits, pair_segments, pair_keys[could], low), c_left[could])
         weight = np.where(c_left > 0, back_off, 0.0)
         chance = weight * together / np.maximum(c_left, 1.0) + (1 - weight) * alone[inverse]
         heads = bounds[:-1]
-        sums = [np.add.reduceat(x, heads) for x in (base[inverse], known[inverse].astype(np.int64), np.log10(chance))]
+        sums = [np.add.reduceat(x, heads) for x in (base[inverse], known[inverse].astype(np.int64), np.where(own, np.log10(chance), 0.0))]
         rare = np.flatnonzero(~known[inverse])
         row = np.searchsorted(bounds, rare, side="right") - 1
         pairs, times = np.unique(row * len(values) + inverse[rare], return_counts=True)
@@ -271,11 +279,21 @@ def _scorer(shared, back_off: float):
 def score(docs: DataFrame, model: Model, *, back_off: float = BACK_OFF, id_column: str = "doc_id", held_out="false", text_column: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.broadcast_part())
     flag = F.expr(held_out) if isinstance(held_out, str) else held_out
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), flag.alias("held_out"), F.col(text_column).alias("text"))
+    if model.parts > 1:  # several passes need the same rows in the same order
+        rows = materialize(rows)
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<h:long,times:long>>"
-    scored = materialize(rows.mapInArrow(_scorer(shared, back_off), schema)).withColumn("row", F.monotonically_increasing_id())
+    passes = []
+    for part in range(model.parts):
+        shared = spark.sparkContext.broadcast(model.broadcast_part(part))
+        found = rows.mapInArrow(_scorer(shared, back_off), schema).withColumn("row", F.monotonically_increasing_id())
+        passes.append(materialize(found if part == 0 else found.select("row", "score")))
+        shared.destroy()
+    scored = passes[0]
+    if model.parts > 1:
+        added = reduce(DataFrame.unionByName, [x.select("row", "score") for x in passes]).groupBy("row").agg(F.sum("score").alias("score"))
+        scored = scored.drop("score").join(added, "row")
     rare = scored.select("row", F.inline("rare"))
     width = float(model.tokens + model.distinct + 1)
     count = F.coalesce("n", F.lit(0))

@@ -269,6 +269,23 @@ def test_lm_pairs_seen_once(spark):
     assert abs(got.score - 6 * log10(0.7 + 0.3 * 2 / (6 + 6 + 1))) < 1e-9
 
 
+def test_lm_keeps_every_pair_and_word(spark, docs, texts):
+    tokens = [[None, *W.findall(low(t)), None] for t in texts]
+    words, pairs = Counter(x for t in tokens for x in t[1:]), Counter(p for t in tokens for p in itertools.pairwise(t))
+    n, v = sum(words.values()), len(words)
+    level = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c else 0.0
+    for kw in ({}, {"max_frequent": 5}, {"max_bits": lm.SEGMENT_BITS}):
+        model = lm.train(docs, **kw)
+        assert model.parts == (1 if "max_bits" not in kw else model.pair_segments) and (model.parts > 1) == ("max_bits" in kw)
+        got = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+        off = 0
+        for d, t in enumerate(tokens):
+            want = sum(log10(0.7 * min(level(pairs[u, w]), level(words[u])) / level(words[u]) + 0.3 * (level(words[w]) + 1) / (n + v + 1)) for u, w in itertools.pairwise(t))
+            off += abs(got[d] - want) > 1e-6
+        assert len(got) == len(tokens) and off <= len(tokens) // 2  # a false positive raises a count's level
+        assert abs(sum(got.values()) / sum(sum(log10(0.7 * min(level(pairs[u, w]), level(words[u])) / level(words[u]) + 0.3 * (level(words[w]) + 1) / (n + v + 1)) for u, w in itertools.pairwise(t)) for t in tokens) - 1) < 0.02
+
+
 def test_packing(docs, none):
     rng = random.Random(4)
     for _ in range(20):
