@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express packing; tests hold the stages against brute-force versions.
+#: SQL cannot express packing. Tests compare ids after some of the stages, not run() with a brute-force version.
 ORACLE_SQL = None
 
 
