@@ -1,19 +1,26 @@
 """Operator 10: language-model scores from a log-frequency Bloom filter.
 
-Training counts every word and every pair of neighbouring words exactly (64-bit
-hashes, summed by batch, then by key), pairs seen once included. The filter
-stores quantised counts: an n-gram of count c is inserted with the
-levels 1 .. 1 + floor(log2 c); looking up means probing levels upwards until
-one is missing, and a level's middle count is the estimate. The filter is
-blocked (all bits of a key lie in one 4 KB segment), built segment by segment
-on the executors, collected and broadcast. Its size follows from the number of
-keys, of words and of pairs, none of which is dropped. The filter of words is
-one broadcast. That of pairs is cut into parts of at most ``max_bits``, one
-broadcast at a time: each takes a pass over the texts, which scores the tokens
-whose pair falls into the part.
-
-The score interpolates: P(w | u) = b * c(u w) / c(u) + (1 - b) * P(w) with
-P(w) = (c(w) + 1) / (N + V + 1), and P(w) alone after an unknown u.
+Training counts every word, every pair and every triple of neighbouring tokens
+exactly, those seen once included. Counts leave a task as packed blocks, dealt
+to buckets by the top bits of the n-gram's 64-bit hash; whoever holds a bucket
+sums them and builds its part of the filter at once, so n-grams are shuffled
+once and never written out. The filter stores quantised counts: an n-gram of
+count c is inserted with the levels 1 .. 1 + floor(log2 c); looking up means
+probing levels upwards until one is missing, and a level's middle count is the
+estimate. All bits of a (key, level) lie in one 64-bit word of its bucket, and a
+bucket has as many words as its keys need, so the filter grows with the corpus.
+
+The buckets' parts are broadcast. Where they hold more than ``max_bits``
+together, they are broadcast in turns, a range of buckets at a time: each turn
+is a pass over the texts that finds the levels of the n-grams in its range, and
+the scores, the same ones, are computed from all levels.
+
+Each order is smoothed by the one below (a Dirichlet prior of ``prior`` tokens):
+P(w | h) = (c(h w) + prior * P(w | h')) / (c(h) + prior), down to
+P(w) = (c(w) + 1) / (N + V + 1). With exact counts these sum to 1 over all words
+and the unknown one; quantised counts and false positives (some 7 % of the
+probes of absent keys) make them estimates. A text's first token has the end of
+a text before it, and no third order.
 
 Base scores need exact counts. The most frequent words (at most about
 ``max_frequent``, a bounded broadcast) are looked up in the worker; the rest
@@ -41,15 +48,23 @@ from tallgrass.session import materialize, table
 _U = np.uint64
 #: The token that ends every text.
 END = 0x5851F42D4C957F2D
-SEGMENT_BITS = 1 << 15
-BITS_A_KEY = 10
-PROBES = 5
-#: Bits of the pair filter that are broadcast at once.
-MAX_BITS = 1 << 29
+BITS_A_KEY = 6
+PROBES = 3
+#: Bits of the filter that are broadcast at once.
+MAX_BITS = 1 << 31
+#: Bytes of the filter that come to the driver at once.
+FETCH = 1 << 25
 MAX_FREQUENT = 1 << 19
-BACK_OFF = 0.7
-#: Tokens gathered before counts leave a worker.
+PRIOR = 2.0
+#: Tokens gathered before counts leave a worker; n-grams, repeats included, of a bucket.
 GATHER = 1 << 21
+BUCKET = 1 << 21
+#: The count that a level stands for: the middle of those it covers.
+ESTIMATE = np.concatenate(([0.0], 1.5 * 2.0 ** np.arange(64) - 0.5))
+
+
+def _alone(tokens: np.ndarray) -> np.ndarray:
+    return K.mix(tokens + _U(1))
 
 
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -66,13 +81,16 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
     return out, bounds
 
 
-def _pairs(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(left, right): each token with the one before it; a text's first follows an end."""
+def _grams(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of each token with the one before it, keys of each token with both before it, where there are two): a text's first follows an end."""
     left = np.empty_like(tokens)
     left[1:] = tokens[:-1]
-    if len(left):
-        left[bounds[:-1]] = _U(END)
-    return left, tokens
+    left[bounds[:-1]] = _U(END)
+    pairs = _pair(left, tokens)
+    third = np.ones(len(tokens), dtype=bool)
+    third[bounds[:-1]] = False
+    third = np.flatnonzero(third)
+    return pairs, _pair(pairs[third - 1], tokens[third]), third
 
 
 def _counted(keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -80,77 +98,147 @@ def _counted(keys: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, type=pa.int64())], names=["h", "n"])
 
 
-def _count_words(batches):
-    held, size = [], 0
+def _tokenised(batches):
     for batch in batches:
         data, offsets = K.string_buffer(batch.column(0))
         for a, b in K.row_groups(offsets, K.PIECE):
-            tokens, _ = _tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            held.append(tokens)
-            size += len(tokens)
-            if size >= GATHER:
-                yield _counted(held)
-                held, size = [], 0
-    if held:
-        yield _counted(held)
+            yield _tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _count_pairs(batches):
+def _count_words(batches):
     held, size = [], 0
-    for batch in batches:
-        data, offsets = K.string_buffer(batch.column(0))
-        for a, b in K.row_groups(offsets, K.PIECE):
-            held.append(_pair(*_pairs(*_tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))))
-            size += len(held[-1])
-            if size >= GATHER:
-                yield _counted(held)
-                held, size = [], 0
+    for tokens, _ in _tokenised(batches):
+        held.append(tokens)
+        size += len(tokens)
+        if size >= GATHER:
+            yield _counted(held)
+            held, size = [], 0
     if held:
         yield _counted(held)
 
 
-def _positions(keys: np.ndarray, levels: np.ndarray, segments: int):
-    """(segment, PROBES bit positions in it) of each (key, level)."""
-    h = K.mix(keys + levels.astype(_U) * _U(0x9E3779B97F4A7C15))
-    step = K.mix(h) | _U(1)
-    bits = [((h + _U(k) * step) >> _U(20)).astype(np.int64) & (SEGMENT_BITS - 1) for k in range(PROBES)]
-    return segment_of(keys, segments), bits
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers of x byte by byte, all first bytes before all second ones: high bytes, mostly zero, compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
 
+def _numbers(raw, size: int, kind) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> _U(32)) * _U(segments) >> _U(32)).astype(np.int64)
 
+def _blocks(keys: list[np.ndarray], bits: int):
+    """Rows (bucket, n, keys as differences, counts) of distinct keys, sorted."""
+    values, counts = np.unique(np.concatenate(keys), return_counts=True)
+    edges = np.searchsorted(values, np.arange(1 << bits, dtype=_U) << _U(64 - bits)).tolist() + [len(values)]
+    rows = []
+    for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if a < b:
+            own, n = values[a:b], counts[a:b]
+            rows.append((bucket, b - a, _planes(np.diff(own, prepend=_U(0))), _planes(n.astype(np.uint8 if n.max() < 256 else np.uint32))))
+    columns = zip(*rows, strict=True)
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "n", "keys", "counts"])
+
+
+def _count_grams(bits: int):
+    def work(batches):
+        held, size = ([], [], []), 0
+        for tokens, bounds in _tokenised(batches):
+            pairs, triples, _ = _grams(tokens, bounds)
+            for own, keys in zip(held, (_alone(tokens), pairs, triples), strict=True):
+                own.append(keys)
+            size += len(tokens)
+            if size >= GATHER:
+                yield from (_blocks(own, bits) for own in held if any(map(len, own)))
+                held, size = ([], [], []), 0
+        yield from (_blocks(own, bits) for own in held if any(map(len, own)))
+
+    return work
+
+
+def _place(keys: np.ndarray, level: int, words) -> tuple[np.ndarray, np.ndarray]:
+    """(word of its bucket, bits in it) of each key at a level."""
+    h = K.mix(keys + _U(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+    mask = _U(1) << (h & _U(63))
+    for k in range(1, PROBES):
+        mask |= _U(1) << ((h >> _U(6 * k)) & _U(63))
+    return (((h >> _U(32)) * words) >> _U(32)).astype(np.int64), mask
+
+
+def _filled(bucket: int, held: list, bits_a_key: int) -> pa.RecordBatch:
+    keys = np.concatenate([k for k, _ in held])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.add.reduceat(np.concatenate([n for _, n in held])[order], heads)
+    keys, levels = keys[heads], np.frexp(counts.astype(np.float64))[1]
+    words = max(1, -(-int(levels.sum()) * bits_a_key // 64))
+    table = np.zeros(words, dtype=_U)
+    for level in range(1, int(levels.max()) + 1):
+        if level > 1:
+            going = levels >= level
+            keys, levels = keys[going], levels[going]
+        at, mask = _place(keys, level, _U(words))
+        np.bitwise_or.at(table, at, mask)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], type=pa.int32()), pa.array([words], type=pa.int64()), pa.array([table.tobytes()], type=pa.binary())], names=["bucket", "words", "bits"])
+
+
+def _builder(bits_a_key: int):
+    """From packed counts sorted by bucket to the filter of each bucket."""
 
-def _builder(segments: int):
     def build(batches):
-        own: dict[int, np.ndarray] = {}
+        bucket, held = None, []
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(_U)
-            levels = batch.column(1).to_numpy()
-            expanded = np.repeat(keys, levels)
-            level = np.arange(1, len(expanded) + 1) - np.repeat(np.cumsum(levels, dtype=np.int64) - levels, levels)
-            at, bits = _positions(expanded, level, segments)
-            order = np.argsort(at, kind="stable")
-            heads = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) > 0))) if len(order) else []
-            for lo, hi in zip(heads, [*heads[1:], len(order)], strict=True):
-                rows = order[lo:hi]
-                segment = own.setdefault(int(at[rows[0]]), np.zeros(SEGMENT_BITS // 8, dtype=np.uint8))
-                for positions in bits:
-                    np.bitwise_or.at(segment, positions[rows] >> 3, (1 << (positions[rows] & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), type=pa.int64()), pa.array([x.tobytes() for x in own.values()], type=pa.binary())], names=["segment", "bits"])
+            for at, size, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if at != bucket and held:
+                    yield _filled(bucket, held, bits_a_key)
+                    held = []
+                bucket, raw = at, counts.as_buffer()
+                held.append((np.cumsum(_numbers(keys.as_buffer(), size, _U), dtype=_U), _numbers(raw, size, np.uint8 if len(raw) == size else np.uint32).astype(np.int64)))
+        if held:
+            yield _filled(bucket, held, bits_a_key)
 
     return build
 
 
+@dataclass
+class Filter:
+    """Buckets low to high (exclusive) of a filter of 2**bits buckets: bucket b is words[starts[b - low] : starts[b - low + 1]]."""
+
+    words: np.ndarray
+    starts: np.ndarray
+    low: int
+    high: int
+    bits: int
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level up to which each key is present; 0 for keys of other buckets."""
+        out = np.zeros(len(keys), dtype=np.uint8)
+        bucket = (keys >> _U(64 - self.bits)).astype(np.int64) - self.low
+        alive = np.flatnonzero((bucket >= 0) & (bucket < self.high - self.low))
+        if not len(self.words):
+            return out
+        base = self.starts[bucket[alive]]
+        size = (self.starts[bucket[alive] + 1] - base).astype(_U)
+        for level in range(1, 65):
+            at, mask = _place(keys[alive], level, size)
+            there = (size > 0) & (self.words[np.minimum(base + at, len(self.words) - 1)] & mask == mask)
+            alive, base, size = alive[there], base[there], size[there]
+            if not len(alive):
+                break
+            out[alive] = level
+        return out
+
+
 @dataclass
 class Model:
-    """What scoring needs: the filter of words, the segments of the pair filter (built, part_segments to a part), the frequent words with exact counts, and totals. words: the table of the other words."""
+    """What scoring needs: the buckets of the filter (built, with their sizes), the frequent words with exact counts, and totals. words: the table of the other words."""
 
-    filter: np.ndarray
-    segments: int
-    pairs: DataFrame
-    pair_segments: int
-    part_segments: int
+    built: DataFrame
+    sizes: np.ndarray
+    bits: int
+    max_bits: int
     frequent: np.ndarray
     frequent_counts: np.ndarray
     tokens: int
@@ -158,55 +246,34 @@ class Model:
     words: DataFrame
 
     @property
-    def parts(self) -> int:
-        return -(-self.pair_segments // self.part_segments)
-
-    def broadcast_part(self, part: int):
-        """The words and one part of the pair filter."""
-        low = part * self.part_segments
-        high = min(low + self.part_segments, self.pair_segments)
-        pairs = _collected(self.pairs.where(F.col("segment").between(low, high - 1)), low, high)
-        return self.frequent, self.frequent_counts, self.filter, self.segments, (pairs, self.pair_segments, low, high), self.tokens, self.distinct
-
-
-def _segments_of(entries: DataFrame, keys: int) -> tuple[DataFrame, int]:
-    """(segment, bits) of the filter of entries (h, level), which hold so many levels in all; and the number of segments."""
-    segments = max(1, -(-keys * BITS_A_KEY // SEGMENT_BITS))
-    segment = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(segments), 32)
-    return entries.repartition(max(8, min(512, segments // 64)), segment).mapInArrow(_builder(segments), "segment long, bits binary"), segments
-
-
-def _collected(built: DataFrame, low: int, high: int) -> np.ndarray:
-    """The bytes of segments low to high."""
-    size = SEGMENT_BITS // 8
-    bits = np.zeros((high - low) * size, dtype=np.uint8)
-    for batch in built.toArrow().to_batches():
-        for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            bits[(at - low) * size : (at - low + 1) * size] |= np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-    return bits
-
-
-def lookup(filter_bits: np.ndarray, segments: int, keys: np.ndarray, low: int = 0) -> np.ndarray:
-    """Estimated counts of n-gram keys: levels are probed upwards until one is missing. filter_bits begins with segment low."""
-    level = np.zeros(len(keys), dtype=np.int64)
-    alive = np.arange(len(keys))
-    for probe in range(1, 64):
-        if not len(alive) or not segments:
-            break
-        at, bits = _positions(keys[alive], np.full(len(alive), probe), segments)
-        base = (at - low) * (SEGMENT_BITS // 8)
-        there = np.ones(len(alive), dtype=bool)
-        for positions in bits:
-            there &= (filter_bits[base + (positions >> 3)] >> (positions & 7).astype(np.uint8) & 1).astype(bool)
-        alive = alive[there]
-        level[alive] = probe
-    return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
-
-
-def train(texts: DataFrame, *, text_column: str = "text", max_bits: int = MAX_BITS, max_frequent: int = MAX_FREQUENT) -> Model:
-    """Count texts and build the filters. max_bits: bits of the pair filter that are broadcast at once; max_frequent: words whose exact counts are, the others' being joined."""
+    def turns(self) -> list[tuple[int, int]]:
+        """Ranges of buckets that are broadcast together."""
+        out, low, total = [], 0, 0
+        for bucket, size in enumerate(self.sizes.tolist()):
+            if total and (total + size) * 64 > self.max_bits:
+                out.append((low, bucket))
+                low, total = bucket, 0
+            total += size
+        return [*out, (low, len(self.sizes))]
+
+    def filter(self, low: int, high: int) -> Filter:
+        """Fetch buckets low to high, a few at a time."""
+        starts = np.concatenate(([0], np.cumsum(self.sizes[low:high])))
+        words = np.zeros(int(starts[-1]), dtype=_U)
+        a = low
+        while a < high:
+            b = max(a + 1, low + int(np.searchsorted(starts, starts[a - low] + FETCH // 8, side="right")) - 1)
+            for batch in self.built.where(F.col("bucket").between(a, b - 1)).select("bucket", "bits").toArrow().to_batches():
+                for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    words[starts[bucket - low] : starts[bucket - low + 1]] = np.frombuffer(raw.as_buffer(), dtype=_U)
+            a = b
+        return Filter(words, starts, low, high, self.bits)
+
+
+def train(texts: DataFrame, *, text_column: str = "text", bits_a_key: int = BITS_A_KEY, max_bits: int = MAX_BITS, max_frequent: int = MAX_FREQUENT) -> Model:
+    """Count texts and build the filter. max_bits: bits of it that are broadcast at once; max_frequent: words whose exact counts are, the others' being joined."""
     rows = texts.select(F.col(text_column))
-    words = materialize(rows.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    words = materialize(rows.mapInArrow(K.returning(_count_words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     level = (F.floor(F.log2("n")) + 1).cast("int")
     by_level = {r["level"]: (r["words"], r["n"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()}
     tokens, distinct = sum(n for _, n in by_level.values()), sum(w for w, _ in by_level.values())
@@ -216,84 +283,112 @@ def train(texts: DataFrame, *, text_column: str = "text", max_bits: int = MAX_BI
             break
         kept, least_level = kept + by_level[x][0], x
     least = 1 << (least_level - 1)
-    top = words.where(F.col("n") >= least)
-    found = top.toArrow()
+    found = words.where(F.col("n") >= least).toArrow()
     frequent = found["h"].to_numpy().view(_U)
     order = np.argsort(frequent)
     frequent, counts = frequent[order], found["n"].to_numpy()[order]
-    word_bits, segments = _segments_of(words.select("h", level.alias("level")), sum(x * w for x, (w, _) in by_level.items()))
-    filter_bits = _collected(word_bits, 0, segments)
-    pairs = materialize(rows.mapInArrow(_count_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).select("h", level.alias("level")))
-    keys = pairs.agg(F.sum("level")).first()[0] or 0
-    pair_bits, pair_segments = _segments_of(pairs, keys)
-    return Model(filter_bits, segments, materialize(pair_bits), pair_segments, max(1, max_bits // SEGMENT_BITS), frequent, counts, tokens, distinct, words.where(F.col("n") < least))
-
-
-def _scorer(shared, back_off: float):
-    def score_group(data, offsets, frequent, counts, bits, segments, pair_filter, total, distinct):
-        pair_bits, pair_segments, low, high = pair_filter
+    bits = max(4, (3 * tokens // BUCKET).bit_length())
+    packed = rows.mapInArrow(K.returning(_count_grams(bits)), "bucket int, n long, keys binary, counts binary")
+    built = materialize(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(K.returning(_builder(bits_a_key)), "bucket int, words long, bits binary"))
+    sizes = np.zeros(1 << bits, dtype=np.int64)
+    for r in built.select("bucket", "words").collect():
+        sizes[r["bucket"]] = r["words"]
+    return Model(built, sizes, bits, max_bits, frequent, counts, tokens, distinct, words.where(F.col("n") < least))
+
+
+def combined(levels: np.ndarray, bounds: np.ndarray, total: int, distinct: int, prior: float) -> np.ndarray:
+    """The score of each text from the levels (3 x tokens) of its words, pairs and triples."""
+    heads = bounds[:-1]
+    alone, together, three = ESTIMATE[levels]
+    before = np.empty(len(alone))
+    before[1:] = alone[:-1]
+    before[heads] = alone[bounds[1:] - 1]  # the end of a text
+    together = np.where((alone > 0) & (before > 0), np.minimum(together, before), 0.0)
+    chance = (alone + 1) / float(total + distinct + 1)
+    chance = (together + prior * chance) / (before + prior)
+    context = np.zeros(len(alone))
+    context[1:] = together[:-1]
+    context[heads] = 0.0
+    three = np.where((together > 0) & (context > 0), np.minimum(three, context), 0.0)
+    return np.add.reduceat(np.log10((three + prior * chance) / (context + prior)), heads)
+
+
+def _scorer(shared, prior: float, whole: bool):
+    """Rows with scores, or (not whole) with the levels that the part of the filter gives."""
+
+    def score_group(data, offsets):
+        part, frequent, counts, total, distinct = shared.value
         tokens, bounds = _tokens(data, offsets)
         values, inverse = np.unique(tokens, return_inverse=True)
         at = np.minimum(np.searchsorted(frequent, values), max(0, len(frequent) - 1))
         known = frequent[at] == values if len(frequent) else np.zeros(len(values), dtype=bool)
         exact = np.where(known, counts[at] if len(counts) else 0, 0)
-        width = float(total + distinct + 1)
-        base = np.where(known, np.log10((exact + 1) / width), 0.0)
-        estimate = lookup(bits, segments, values)
-        alone = (estimate + 1) / width
-        left, right = _pairs(tokens, bounds)
-        c_left = np.empty(len(tokens))
-        c_left[1:] = estimate[inverse[:-1]]
-        c_left[bounds[:-1]] = lookup(bits, segments, np.array([END], dtype=_U))[0]
-        together = np.zeros(len(tokens))
-        pair_keys = _pair(left, right)
-        at = segment_of(pair_keys, pair_segments)
-        own = (at >= low) & (at < high)  # the other tokens are scored in other passes
-        could = np.flatnonzero(own & (c_left > 0) & (estimate[inverse] > 0))
-        together[could] = np.minimum(lookup(pair_bits, pair_segments, pair_keys[could], low), c_left[could])
-        weight = np.where(c_left > 0, back_off, 0.0)
-        chance = weight * together / np.maximum(c_left, 1.0) + (1 - weight) * alone[inverse]
-        heads = bounds[:-1]
-        sums = [np.add.reduceat(x, heads) for x in (base[inverse], known[inverse].astype(np.int64), np.where(own, np.log10(chance), 0.0))]
+        base = np.where(known, np.log10((exact + 1) / float(total + distinct + 1)), 0.0)
+        pairs, triples, third = _grams(tokens, bounds)
+        levels = np.zeros((3, len(tokens)), dtype=np.uint8)
+        levels[0] = part.levels(_alone(values))[inverse]
+        levels[1] = part.levels(pairs)
+        if whole:  # a triple is there only if both of its pairs are
+            could = (levels[1][third] > 0) & (levels[1][third - 1] > 0)
+            triples, third = triples[could], third[could]
+        levels[2, third] = part.levels(triples)
+        model = combined(levels, bounds, total, distinct, prior) if whole else [levels[:, a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        sums = [np.add.reduceat(x, bounds[:-1]) for x in (base[inverse], known[inverse].astype(np.int64))]
         rare = np.flatnonzero(~known[inverse])
         row = np.searchsorted(bounds, rare, side="right") - 1
-        pairs, times = np.unique(row * len(values) + inverse[rare], return_counts=True)
-        rows, words = np.divmod(pairs, len(values))
+        both, times = np.unique(row * len(values) + inverse[rare], return_counts=True)
+        rows, words = np.divmod(both, len(values))
         edges = np.searchsorted(rows, np.arange(len(bounds)))
-        return np.diff(bounds), sums, edges, values[words], times
+        return np.diff(bounds), sums, model, edges, values[words], times
 
     def score(batches):
         for batch in batches:
             data, offsets = K.string_buffer(batch.column(2))
             for a, b in K.row_groups(offsets, K.PIECE):
-                n, (base, known, model), edges, words, times = score_group(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], *shared.value)
+                n, (base, known), model, edges, words, times = score_group(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 rare = pa.ListArray.from_arrays(pa.array(edges, type=pa.int32()), pa.StructArray.from_arrays([pa.array(words.view(np.int64)), pa.array(times, type=pa.int64())], names=["h", "times"]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, type=pa.int64()), pa.array(known, type=pa.int64()), pa.array(base), pa.array(model), rare],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, type=pa.int64()), pa.array(known, type=pa.int64()), pa.array(base), pa.array(model, type=pa.float64() if whole else pa.binary()), rare],
                     names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
                 )
 
     return score
 
 
-def score(docs: DataFrame, model: Model, *, back_off: float = BACK_OFF, id_column: str = "doc_id", held_out="false", text_column: str = "text") -> DataFrame:
+def _joined_levels(tokens: int, distinct: int, prior: float):
+    """Scores from (row, levels of each turn)."""
+
+    def work(batches):
+        for batch in batches:
+            scores = []
+            for found in batch.column(1).to_pylist():
+                levels = sum(np.frombuffer(x, dtype=np.uint8) for x in found).reshape(3, -1)
+                scores.append(combined(levels, np.array([0, levels.shape[1]]), tokens, distinct, prior)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, type=pa.float64())], names=["row", "score"])
+
+    return work
+
+
+def score(docs: DataFrame, model: Model, *, prior: float = PRIOR, id_column: str = "doc_id", held_out="false", text_column: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     spark = docs.sparkSession
     flag = F.expr(held_out) if isinstance(held_out, str) else held_out
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), flag.alias("held_out"), F.col(text_column).alias("text"))
-    if model.parts > 1:  # several passes need the same rows in the same order
+    turns = model.turns
+    whole = len(turns) == 1
+    if not whole:  # several passes need the same rows in the same order
         rows = materialize(rows)
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<h:long,times:long>>"
+    schema = f"doc_id long, held_out boolean, n_tokens long, known long, base double, score {'double' if whole else 'binary'}, rare array<struct<h:long,times:long>>"
     passes = []
-    for part in range(model.parts):
-        shared = spark.sparkContext.broadcast(model.broadcast_part(part))
-        found = rows.mapInArrow(_scorer(shared, back_off), schema).withColumn("row", F.monotonically_increasing_id())
-        passes.append(materialize(found if part == 0 else found.select("row", "score")))
+    for turn, (low, high) in enumerate(turns):
+        shared = spark.sparkContext.broadcast((model.filter(low, high), model.frequent, model.frequent_counts, model.tokens, model.distinct))
+        found = rows.mapInArrow(K.returning(_scorer(shared, prior, whole)), schema).withColumn("row", F.monotonically_increasing_id())
+        passes.append(materialize(found if turn == 0 else found.select("row", "score")))
         shared.destroy()
     scored = passes[0]
-    if model.parts > 1:
-        added = reduce(DataFrame.unionByName, [x.select("row", "score") for x in passes]).groupBy("row").agg(F.sum("score").alias("score"))
-        scored = scored.drop("score").join(added, "row")
+    if not whole:
+        levels = reduce(DataFrame.unionByName, [x.select("row", "score") for x in passes]).groupBy("row").agg(F.collect_list("score").alias("levels"))
+        scored = scored.drop("score").join(levels.mapInArrow(_joined_levels(model.tokens, model.distinct, prior), "row long, score double"), "row")
     rare = scored.select("row", F.inline("rare"))
     width = float(model.tokens + model.distinct + 1)
     count = F.coalesce("n", F.lit(0))

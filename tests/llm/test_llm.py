@@ -263,27 +263,63 @@ def test_lm(docs, texts, none):
     assert lm.score(none, lm.train(none)).isEmpty()
 
 
-def test_lm_pairs_seen_once(spark):
-    df = spark.createDataFrame([(1, "one two three four five")], "doc_id long, text string")
-    got = lm.score(df, lm.train(df)).first()
-    assert abs(got.score - 6 * log10(0.7 + 0.3 * 2 / (6 + 6 + 1))) < 1e-9
-
-
-def test_lm_keeps_every_pair_and_word(spark, docs, texts):
-    tokens = [[None, *W.findall(low(t)), None] for t in texts]
-    words, pairs = Counter(x for t in tokens for x in t[1:]), Counter(p for t in tokens for p in itertools.pairwise(t))
-    n, v = sum(words.values()), len(words)
-    level = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c else 0.0
-    for kw in ({}, {"max_frequent": 5}, {"max_bits": lm.SEGMENT_BITS}):
-        model = lm.train(docs, **kw)
-        assert model.parts == (1 if "max_bits" not in kw else model.pair_segments) and (model.parts > 1) == ("max_bits" in kw)
-        got = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
-        off = 0
-        for d, t in enumerate(tokens):
-            want = sum(log10(0.7 * min(level(pairs[u, w]), level(words[u])) / level(words[u]) + 0.3 * (level(words[w]) + 1) / (n + v + 1)) for u, w in itertools.pairwise(t))
-            off += abs(got[d] - want) > 1e-6
-        assert len(got) == len(tokens) and off <= len(tokens) // 2  # a false positive raises a count's level
-        assert abs(sum(got.values()) / sum(sum(log10(0.7 * min(level(pairs[u, w]), level(words[u])) / level(words[u]) + 0.3 * (level(words[w]) + 1) / (n + v + 1)) for u, w in itertools.pairwise(t)) for t in tokens) - 1) < 0.02
+def lm_level(count):
+    return 1.5 * 2 ** (count.bit_length() - 1) - 0.5 if count else 0.0
+
+
+def lm_brute(train, text, prior=2.0, level=lm_level):
+    """log10 of the chance of each token of a text, from counters of quantised counts."""
+    grams = [Counter() for _ in range(3)]
+    for t in train:
+        tokens = [None, *W.findall(low(t)), None]
+        for i in range(1, len(tokens)):
+            for n in range(1, 4):
+                if n < 3 or i > 1:
+                    grams[n - 1][tuple(tokens[i - n + 1 : i + 1])] += 1
+    one, two, three = ({k: level(c) for k, c in g.items()} for g in grams)
+    total, tokens, out = sum(grams[0].values()) + len(grams[0]) + 1, [None, *W.findall(low(text)), None], []
+    for i in range(1, len(tokens)):
+        u, w = tokens[i - 1], tokens[i]
+        c = one.get((u,), 0)
+        p = (min(two.get((u, w), 0), c) + prior * (one.get((w,), 0) + 1) / total) / (c + prior)
+        if i > 1:
+            c = min(two.get((tokens[i - 2], u), 0), one.get((tokens[i - 2],), 0))
+            p = (min(three.get((tokens[i - 2], u, w), 0), c, two.get((u, w), 0)) + prior * p) / (c + prior)
+        out.append(log10(p))
+    return out
+
+
+def test_lm_scores_by_brute_force(spark, docs, texts):
+    """Wide filters, which give no false positives, are equal to counters; turns and exact counts by join change nothing."""
+    train = [t for d, t in enumerate(texts) if zlib.crc32(str(d).encode()) % 7 != 2]
+    rows = docs.where(langid.remainder("doc_id", 7) != 2)
+    want = {d: sum(lm_brute(train, t)) for d, t in enumerate(texts)}
+    for kw in ({}, {"max_frequent": 5}, {"max_bits": 1 << 16}):
+        model = lm.train(rows, bits_a_key=400, **kw)
+        assert (len(model.turns) > 1) == ("max_bits" in kw)
+        got = {r.doc_id: r.score for r in lm.score(docs.unionByName(docs.where("doc_id = 9")), model).collect()}
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+    same = [sorted(map(tuple, lm.score(docs, lm.train(rows, max_bits=bits)).select("doc_id", "score").collect())) for bits in (lm.MAX_BITS, 1 << 12)]
+    assert all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(*same, strict=True))
+    off = sum(abs(got - want[d]) for d, got in same[0]) / -sum(want.values())
+    assert off < 0.05  # false positives of the narrow filter
+
+
+def test_lm_sums_to_one():
+    """With exact counts the chances of all known words, an unknown one and the end sum to 1 after any words."""
+    train = ["a b a c", "b a", "c c a b"]
+    for before in ("", "a ", "a b ", "x a ", "c c "):
+        chances = [lm_brute(train, before + w, level=float)[-2] for w in ("a", "b", "c", "unknown")]
+        assert abs(sum(10**x for x in [*chances, lm_brute(train, before, level=float)[-1]]) - 1) < 1e-9
+
+
+def test_lm_tells_documents_that_occur_twice_apart(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(4000 ** rng.random())}" for _ in range(120)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:30])), "doc_id long, text string")
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(df, lm.train(df)).collect()}
+    bound = sorted(got[i] for i in range(30, 300))[243]
+    assert sum(got[i] > bound for i in range(30)) == 30
 
 
 def test_packing(docs, none):
