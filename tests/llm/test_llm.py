@@ -209,6 +209,56 @@ def test_fuzzy_passages_first_seen_apart(spark):
         assert got == {d: want.get(d, d) for d, _ in rows}
 
 
+def passage_rows(spark, rows, parts=1, batch=10_000):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        return sorted((r.doc_id, r.class_id, r.n_repeated, r.n_links, [tuple(p) for p in r.passages]) for r in chaining.repeated_passages(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fuzzy_passages_recall_and_batches(spark):
+    """Copies of 60 to 100 words with up to a fifth of them replaced, twelve copies of one passage, and copies among documents that hold parts of the same passage: brute force knows them all; neither batches nor partitions change a row."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    rows, want = [], {}
+    for case, (size, edits) in enumerate([(60, 12), (60, 9), (60, 6), (80, 14), (100, 20)] * 20):
+        passage = words(size)
+        copy = list(passage)
+        for k in rng.sample(range(1, size - 1), edits):
+            copy[k] = words(1)[0]
+        rows += [(2 * case, " ".join(words(30) + passage + words(30))), (2 * case + 1, " ".join(words(50) + copy + words(10)))]
+        want[2 * case + 1] = 2 * case
+    passage = words(70)
+    rows += [(1000 + k, " ".join(words(20) + passage + words(20))) for k in range(12)]
+    passage = words(80)
+    for k in range(8):
+        rows.append((2000 + k, " ".join(words(40) + passage[9 * k : 9 * k + 14] + words(40))))
+    rows += [(2100, " ".join(words(40) + passage + words(20))), (2150, " ".join(words(40) + passage[20:60] + words(20))), (2200, " ".join(words(10) + passage + words(30)))]
+    got = passage_rows(spark, rows)
+    of = {r[0]: r[1] for r in got}
+    assert sum(of[d] == c for d, c in want.items()) >= 0.9 * len(want)
+    assert all(of[2 * k] == 2 * k for k in range(100)) and all(of[1000 + k] == 1000 for k in range(12))
+    assert all(of[2000 + k] == 2000 + k for k in range(8)) and of[2200] == 2100 and [r for r in got if r[0] == 2200][0][2] >= 80
+    assert got == passage_rows(spark, rows, 8, 4) == passage_rows(spark, rows, 2, 1)
+
+
+def test_fuzzy_passages_hot_seeds(spark, monkeypatch):
+    """A passage that more documents hold than one task should take: parts by document, joined by their firsts."""
+    monkeypatch.setattr(chaining, "SAMPLE", 1)
+    monkeypatch.setattr(chaining, "HOT", 5)
+    monkeypatch.setattr(chaining, "HOT_PARTS", 4)
+    monkeypatch.setattr(chaining, "CHAINS_A_ROW", 2)
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage = words(60)
+    rows = [(k, " ".join(words(k % 7) + passage + words(20))) for k in range(60)]
+    rows += [(60, rows[3][1]), (60, rows[3][1]), (61, " ".join(words(100)) * 3)]
+    got = passage_rows(spark, rows, 3)
+    assert [r[1] for r in got] == [0] * 62 + [61] and all(r[2] >= 60 for r in got[1:62])
+
+
 def test_secrets(spark, docs, none):
     a = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
     rng = random.Random(1)
