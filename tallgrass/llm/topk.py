@@ -12,14 +12,16 @@ those rows are candidates) and rise with each shard. Shards' bests are merged
 by a ranked window, of which Spark keeps k rows a task before it shuffles.
 
 Queries go in blocks of at most ``block_queries`` (a bounded broadcast), each
-block against all rows.
+block against all rows; a block's results are written before the next begins.
+Sums are exact: in floats while every one stays below 2**53, in 64-bit integers
+below 2**63, and in Python's integers beyond, where scores end at the least and
+greatest 64-bit number.
 
 Defined cases: a vector that is null or holds a null or a non-finite component,
 or a row without id, takes no part; vectors of different length are not
 compared; rows that repeat an id are candidates each, rows with the query's id
-are its own and none of its candidates, and the first of a repeated query id
-asks; fewer than k candidates give all of them; extra columns are ignored.
-Scores are 64-bit: |floor(scale * x)|**2 * dimensions must stay below 2**63.
+are its own and none of its candidates, and the least vector of a repeated query
+id asks; fewer than k candidates give all of them; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallgrass.session import table
+from tallgrass.session import materialize, table
 
 SHARD = 8_192
 SEED_ROWS = 4_096
@@ -60,6 +62,21 @@ def quantised(ids: pa.Array, vectors: pa.Array, scale: float) -> dict[int, tuple
     return out
 
 
+def exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a and b as the cheapest kind of number in which all sums of their products are exact."""
+    bound = 2.0 * a.shape[-1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    if bound < 2**53:
+        return a, b
+    if bound < 2**62:
+        return a.astype(np.int64), b.astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(a), whole(b)
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in x], dtype=np.int64)
+
+
 class _Block:
     """Queries of one dimension with the best scores so far."""
 
@@ -67,23 +84,26 @@ class _Block:
         self.ids, self.vectors, self.k = ids, vectors, k
 
     def fresh(self):
-        return [(np.zeros(0, dtype=np.float64), np.zeros(0, dtype=np.int64))] * len(self.ids)
+        return [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(self.ids)
 
     def search(self, best: list, floor: np.ndarray, ids: np.ndarray, shard: np.ndarray) -> None:
         """Raise best (a list of (scores, ids) by query) by the vectors of shard. floor: least score of interest by query."""
+        shard, queries = exact(shard, self.vectors)
         columns = np.ascontiguousarray(shard.T)
         high, low = columns.max(axis=1), columns.min(axis=1)
-        for i, (own, q) in enumerate(zip(self.ids.tolist(), self.vectors, strict=True)):
+        for i, (own, q) in enumerate(zip(self.ids.tolist(), queries, strict=True)):
             scores, found = best[i]
-            limit = max(floor[i], scores[-1]) if len(scores) == self.k else floor[i]
+            limit = max(floor[i], int(scores[-1])) if len(scores) == self.k else floor[i]
+            if limit <= -(1 << 63):  # scores end there
+                limit = -np.inf
             least, most = np.minimum(q * high, q * low), np.maximum(q * high, q * low)
             if most.sum() < limit:
                 continue
             width = most - least
             order = np.argsort(-width, kind="stable")
-            left = np.append(np.cumsum(width[order][::-1])[::-1], 0.0)  # what the terms from here on can add
+            left = np.append(np.cumsum(width[order][::-1])[::-1], width[:1] * 0)  # what the terms from here on can add
             base = least.sum()
-            essential = min(len(order), max(1, int(np.searchsorted(-(base + left), -limit, side="right")))) if np.isfinite(limit) else len(order)
+            essential = min(len(order), max(1, int(np.searchsorted(-(base + left), -limit, side="right")))) if limit > -np.inf else len(order)
             terms = order[:essential]
             partial = base + (q[terms] @ columns[terms] - least[terms].sum())
             alive = np.flatnonzero((partial + left[essential] >= limit) & (ids != own))
@@ -96,8 +116,8 @@ class _Block:
                 going = partial + left[min(at + 8, len(order))] >= limit
                 alive, partial = alive[going], partial[going]
             if len(alive):
-                all_scores, all_ids = np.concatenate((scores, partial)), np.concatenate((found, ids[alive]))
-                top = np.lexsort((all_ids, -all_scores))[: self.k]
+                all_scores, all_ids = np.concatenate((scores, _long(partial))), np.concatenate((found, ids[alive]))
+                top = np.lexsort((all_ids, ~all_scores))[: self.k]
                 best[i] = (all_scores[top], all_ids[top])
 
 
@@ -130,7 +150,7 @@ def _searcher(shared, scale: float):
                     [
                         pa.array(np.repeat(block.ids[[i for i, _, _ in kept]], [len(s) for _, s, _ in kept]), type=pa.int64()),
                         pa.array(np.concatenate([v for _, _, v in kept]), type=pa.int64()),
-                        pa.array(np.concatenate([s for _, s, _ in kept]).astype(np.int64), type=pa.int64()),
+                        pa.array(np.concatenate([s for _, s, _ in kept]), type=pa.int64()),
                     ],
                     names=["query_id", "vec_id", "score"],
                 )
@@ -139,17 +159,10 @@ def _searcher(shared, scale: float):
 
 
 def _query_blocks(queries: DataFrame, scale: float, size: int):
-    """Queries by dimension, size rows at a time; the first of a repeated id asks."""
-    seen: set[int] = set()
+    """Queries by dimension, size rows at a time."""
 
     def block(rows):
-        found = quantised(pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.list_(pa.float64())), scale)
-        out = {}
-        for dimension, (ids, vectors) in found.items():
-            fresh = [i for i, x in enumerate(ids.tolist()) if x not in seen and not seen.add(x)]
-            if fresh:
-                out[dimension] = (ids[fresh], vectors[fresh])
-        return out
+        return quantised(pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.list_(pa.float64())), scale)
 
     rows = []
     for row in queries.toLocalIterator():
@@ -169,18 +182,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: float =
     seeds = rows.limit(SEED_ROWS).toArrow()
     seed = quantised(seeds.column(0), seeds.column(1), scale) if len(seeds) else {}
     parts = []
-    for found in _query_blocks(asked, scale, block_queries):
+    names = asked.columns
+    fine = asked.where(F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull() & ~F.exists(names[1], lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    once = fine.groupBy(names[0]).agg(F.min(names[1]).alias(names[1]))
+    for found in _query_blocks(once, scale, block_queries):
         blocks = {size: _Block(ids, q, k) for size, (ids, q) in found.items()}
         floors = {}
         for size, block in blocks.items():
-            floors[size] = np.full(len(block.ids), -np.inf)
+            floors[size] = [-np.inf] * len(block.ids)
             if size in seed:
                 best = block.fresh()
                 block.search(best, floors[size], *seed[size])
-                floors[size] = np.array([s[-1] if len(s) == k else -np.inf for s, _ in best])
+                floors[size] = [int(s[-1]) if len(s) == k else -np.inf for s, _ in best]
         if blocks:
             shared = spark.sparkContext.broadcast((blocks, floors))
-            parts.append(rows.mapInArrow(_searcher(shared, scale), "query_id long, vec_id long, score long"))
+            parts.append(materialize(rows.mapInArrow(_searcher(shared, scale), "query_id long, vec_id long, score long")))
+            shared.destroy()
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
