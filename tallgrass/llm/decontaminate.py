@@ -140,7 +140,7 @@ def _union(spans: list[tuple[int, int]]) -> list[dict]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = 1_000_000) -> DataFrame:
     """docs with n_words long, hit_words array<struct<first,last>> (half-open word ranges inside occurrences of windows) and item_ids array<string> (sorted)."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in _ADDED]
+    kept = [c for c in docs.columns if c.lower() not in _ADDED]
     out = docs.select(*[docs[f"`{c}`"] for c in kept])
     schema = T.StructType([*out.schema.fields, *[T.StructField(k, v) for k, v in _ADDED.items()]])
     blocks = _blocks(benchmark, n, block_windows, item_id, item_text)

@@ -9,7 +9,8 @@ sparse feature list gathers rows of the matrix, sums of its segments are the
 languages' log-likelihoods.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0;
-rows without language teach nothing; with no learned language every text is
+rows without language teach nothing, nor do those of languages beyond the
+``max_languages`` with most rows (ties: the smaller value); with no learned language every text is
 ``und``; ties go to the smaller language value; repeated rows are scored alike;
 very long texts are scored whole, in bounded pieces; extra columns pass through
 (columns named as the added ones are replaced).
@@ -31,6 +32,8 @@ ORDERS = (1, 2, 3)
 BITS = 15
 #: Characters handled at once.
 CHUNK = 1 << 18
+#: Values of the matrix that are gathered at once.
+CELLS = 1 << 22
 ROWS_PER_LANGUAGE = 20_000
 MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
@@ -125,9 +128,11 @@ class LanguageModel:
         for rows, codes, bounds in _pieces(texts) if width else ():
             sums = np.zeros((len(rows), width))
             for buckets, owner in _segments(rows, codes, bounds, self.bits):
-                if len(owner):
-                    heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                    sums[owner[heads]] += np.add.reduceat(self.matrix[buckets], heads, axis=0, dtype=np.float64)
+                step = max(1, CELLS // width)
+                for at in range(0, len(owner), step):
+                    own = owner[at : at + step]
+                    heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    sums[own[heads]] += np.add.reduceat(self.matrix[buckets[at : at + step]], heads, axis=0, dtype=np.float64)
             np.add.at(total, rows, sums)
         names, scores = [], []
         best = total.argmax(axis=1) if width else np.zeros(len(texts), dtype=int)
@@ -145,13 +150,12 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def train(labelled: DataFrame, *, text_column: str = "text", lang_column: str = "lang", key: Column | str = "doc_id", bits: int = BITS, rows_per_language: int = ROWS_PER_LANGUAGE, smoothing: float = 0.5) -> LanguageModel:
+def train(labelled: DataFrame, *, text_column: str = "text", lang_column: str = "lang", key: Column | str = "doc_id", bits: int = BITS, rows_per_language: int = ROWS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, smoothing: float = 0.5) -> LanguageModel:
     """Fit on labelled rows. The sample is chosen by a hash of key; the counts that reach the driver are at most languages x buckets."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), (F.col(key) if isinstance(key, str) else key).alias("key")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    commonest = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    counts = {r["lang"]: r["n"] for r in commonest.collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((1 << bits, 0), dtype=np.float32), np.zeros(0), bits)
@@ -160,7 +164,7 @@ def train(labelled: DataFrame, *, text_column: str = "text", lang_column: str =
     for name in languages:
         if counts[name] > rows_per_language:
             wanted = F.when(F.col("lang") == name, rows_per_language / counts[name]).otherwise(wanted)
-    parts = rows.where(share < wanted).select("text", "lang").mapInArrow(K.returning(_trainer(languages, bits)), "lang int, bucket int, n long")
+    parts = rows.where(F.col("lang").isin(languages)).where(share < wanted).select("text", "lang").mapInArrow(K.returning(_trainer(languages, bits)), "lang int, bucket int, n long")
     found = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     totals = np.zeros((1 << bits, len(languages)))
     totals[found["bucket"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
@@ -173,7 +177,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_column: str = "text")
     """docs with lang_pred string and score double (posterior probability of lang_pred)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = {"lang_pred", "score"}
-    base = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in added])
+    base = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in added])
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(batches):
@@ -190,8 +194,11 @@ def remainder(column: str, modulus: int) -> Column:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None, *, min_score: float = 0.35) -> DataFrame:
-    """docs whose language is identified; the columns of docs only. Texts without a letter, and those whose best language is less than min_score likely, go."""
+    """docs whose language is identified; the columns of docs only. Texts without a letter, and those whose best language is less than min_score likely, go. With no learned language only the former go."""
     model = model or train(docs)
+    if not model.languages:
+        letter = F.regexp_like(F.col("text"), F.lit(r"\p{L}"))
+        return docs.where(letter)
     return shielded(docs, {"lang_pred", "score"}, lambda d: predict(d, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)))
 
 
