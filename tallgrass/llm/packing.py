@@ -7,11 +7,13 @@ least cost for each token it can be expected to hold, judged by filling the
 capacity greedily from the lengths that are still to come. At the end each bin
 is downsized to the least permitted capacity that holds its contents.
 
-Packing is done inside each input partition, in windows of at most
-``window_rows`` documents, so nothing shuffles, memory is bounded and a lost
-task is packed again alike. The price is at most a few part-filled bins a
-window; windows of the usual partition size hold tens of thousands of pieces.
-Bins never mix windows: bin ids are "partition.window.bin".
+Packing is done in windows of about ``window_rows`` documents, which hold those of
+equal hash of id and length: only ids and lengths are shuffled, memory is
+bounded, a lost task is packed again alike, and the bins are the same however
+the input is split. The price is at most a few part-filled bins a window. Bins
+never mix windows: bin ids are "window.part.bin", part counting the pieces of a
+window that holds more than twice window_rows documents (many rows of one id and
+length).
 
 Defined cases: null or empty text, or text without tokens, gives one row with 0
 tokens and no bin; repeated rows are packed each on its own; longer texts than
@@ -26,12 +28,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.llm import textkernel as K
-from tallgrass.session import table
+from tallgrass.session import materialize, table
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, piece int, first_token long, n_tokens long, bin_id string, bin_size int, bin_offset int"
@@ -139,16 +140,21 @@ def tokenizer_counts(path: str) -> Callable[[pa.Array], np.ndarray]:
     return count
 
 
-def _packer(capacities: tuple[int, ...], counter, price, window_rows: int):
+def _counter_rows(counter):
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter(batch.column(1)), type=pa.int64())], names=["doc_id", "n_tokens"])
+
+    return count
+
+
+def _packer(capacities: tuple[int, ...], price, window_rows: int):
+    """From (doc_id, n_tokens, window) sorted by window, id and length to pieces and bins."""
     largest = max(capacities)
 
-    def packed(ids: list, counts: list[int], window: int) -> pa.RecordBatch:
+    def packed(ids: list, counts: list[int], window: int, part: int) -> pa.RecordBatch:
         rows = [(row, piece, first, min(largest, total - first)) for row, total in enumerate(counts) for piece, first in enumerate(range(0, total, largest))]
-        # order by id, not by arrival, so that a window's packing depends on its documents only
-        rows.sort(key=lambda r: (ids[r[0]] is None, ids[r[0]] or 0, r[0], r[1]))
         bins = pack_lengths([r[3] for r in rows], capacities, price)
-        context = TaskContext.get()
-        label = f"{context.partitionId() if context else 0}.{window}"
         empty = [i for i, total in enumerate(counts) if total == 0]
         return pa.RecordBatch.from_arrays(
             [
@@ -156,7 +162,7 @@ def _packer(capacities: tuple[int, ...], counter, price, window_rows: int):
                 pa.array([r[1] for r in rows] + [0] * len(empty), type=pa.int32()),
                 pa.array([r[2] for r in rows] + [0] * len(empty), type=pa.int64()),
                 pa.array([r[3] for r in rows] + [0] * len(empty), type=pa.int64()),
-                pa.array([f"{label}.{b}" for b, _, _ in bins] + [None] * len(empty), type=pa.string()),
+                pa.array([f"{window}.{part}.{b}" for b, _, _ in bins] + [None] * len(empty), type=pa.string()),
                 pa.array([c for _, c, _ in bins] + [None] * len(empty), type=pa.int32()),
                 pa.array([o for _, _, o in bins] + [None] * len(empty), type=pa.int32()),
             ],
@@ -166,22 +172,31 @@ def _packer(capacities: tuple[int, ...], counter, price, window_rows: int):
     def pack(batches):
         ids: list = []
         counts: list[int] = []
-        window = 0
+        window, part = None, 0
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            counts += counter(batch.column(1)).tolist()
-            while len(ids) >= window_rows:
-                yield packed(ids[:window_rows], counts[:window_rows], window)
-                ids, counts, window = ids[window_rows:], counts[window_rows:], window + 1
+            for doc, n, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if ids and (at != window or len(ids) >= 2 * window_rows):
+                    yield packed(ids, counts, window, part)
+                    ids, counts, part = [], [], part + 1 if at == window else 0
+                elif at != window:
+                    part = 0
+                window = at
+                ids.append(doc)
+                counts.append(n)
         if ids:
-            yield packed(ids, counts, window)
+            yield packed(ids, counts, window, part)
 
     return pack
 
 
-def pack(docs: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, counter: Callable[[pa.Array], np.ndarray] = word_counts, price: Callable[[int], float] = float, window_rows: int = 65_536, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, counter: Callable[[pa.Array], np.ndarray] = word_counts, price: Callable[[int], float] = float, window_rows: int = 16_384, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each piece of each document: its tokens [first_token, first_token + n_tokens) lie at bin_offset of bin_id, whose capacity is bin_size."""
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(K.returning(_packer(tuple(capacities), counter, price, window_rows)), SCHEMA)
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    counted = materialize(texts.mapInArrow(K.returning(_counter_rows(counter)), "doc_id long, n_tokens long"))
+    windows = max(1, round(counted.count() / window_rows))
+    dealt = counted.withColumn("window", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(windows)))
+    dealt = dealt.repartition("window").sortWithinPartitions("window", "doc_id", "n_tokens")
+    return dealt.mapInArrow(_packer(tuple(capacities), price, window_rows), SCHEMA)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
