@@ -9,15 +9,19 @@ one after another for all documents of a batch; a document stops as soon as all
 its slots are filled, since later ranks are larger (the early stopping).
 
 Documents with equal shingle sets are one class, and only its smallest doc_id
-goes on. Bands of the signature are buckets. In each bucket members are paired
+goes on (equal: the 128-bit digest of the whole sorted set, and its size). Bands of the signature are buckets. In each bucket members are paired
 with its smallest member only, and verified links are grouped. In buckets that
 then still hold several components, pairs of different components are compared
 inside the task, by signature and by what sets them apart from a common
 document; only links and the few undecided pairs leave it (see _bucket_pairs).
+Buckets of more than BLOCK members are dealt to tasks in pairs of blocks.
 So every pair that shares a bucket is either compared or already linked through
-others, and a large group never gives all its pairs. With 32
-bands of 4 values a pair of similarity 0.85 shares no bucket with probability
-6e-11, one of 0.8 with 5e-8.
+others, and a large group never gives all its pairs. The rows of a band follow
+from ``percent``: as many as leave a pair at the threshold without a common
+bucket less often than once in ten million (32 bands of 4 values at 80 and 85 %).
+Inside buckets a pair is passed over if its signatures agree in fewer slots than
+six standard deviations below the threshold (once in a thousand million for a
+pair at the threshold).
 
 Defined cases: null or empty text, or text without words, has an empty set and
 no links; fewer words than n make one shingle of all of them; rows that share a
@@ -27,6 +31,8 @@ a null component and is kept; a repeated row gives a repeated result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +41,22 @@ from pyspark.sql.window import Window
 
 from tallgrass.llm import textkernel as K
 from tallgrass.llm.common import connected_components
-from tallgrass.session import materialize, table
+from tallgrass.session import materialize, release, table
 
-BANDS, ROWS = 32, 4
+SLOTS = 128
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 1_024
 _U = np.uint64
 
 
+def bands_for(percent: int, slots: int = SLOTS) -> tuple[int, int]:
+    """(bands, values in a band) of a signature of slots values, for pairs of percent similarity and more."""
+    for rows in (16, 8, 4, 2, 1):
+        if (1 - (percent / 100) ** rows) ** (slots // rows) < 1e-7:
+            return slots // rows, rows
+    raise ValueError(f"{slots} values do not serve a similarity of {percent} %")
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a group."""
     _, _, words, first = K.word_hashes(data, offsets, K.NON_SPACE)
@@ -93,8 +109,9 @@ def _sketch_rows(n: int, bands: int, rows: int, text_index: int = 1):
             for a, b in K.row_groups(offsets, K.PIECE):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 sizes += [len(s) for s in sets]
-                high += [int(s.sum(dtype=_U).astype(np.int64)) for s in sets]
-                low += [int(K.mix(s).sum(dtype=_U).astype(np.int64)) for s in sets]
+                digests = [np.frombuffer(hashlib.blake2b(s, digest_size=16).digest(), dtype=np.int64) for s in sets]
+                high += [int(x[0]) for x in digests]
+                low += [int(x[1]) for x in digests]
                 full = [s for s in sets if len(s)]
                 signatures = super_minhash(full, bands * rows)
                 signed, short = iter(_bands(signatures, bands, rows)), iter((K.mix(signatures) >> _U(48)).astype(np.uint16))
@@ -145,8 +162,16 @@ def _compared(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return materialize(both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"), (2 * F.col("common") >= union).alias("near")))
 
 
-def _bucket_pairs(slots: int, percent: int, block: int = 1_024):
-    """Pairs of different parts inside each bucket, from rows sorted by bucket (bucket, doc_id, part, n, cluster, d, signature).
+def _block_pairs(entries: DataFrame) -> DataFrame:
+    """entries with (i, j, side): each bucket's members in blocks, each block once beside itself and every other of its bucket."""
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) - 1
+    blocks = entries.withColumn("own", F.floor(place / BLOCK).cast("int")).withColumn("last", F.floor((F.count("*").over(Window.partitionBy("bucket")) - 1) / BLOCK).cast("int"))
+    beside = blocks.withColumn("beside", F.explode(F.sequence(F.lit(0), "last")))
+    return beside.select("*", F.least("own", "beside").alias("i"), F.greatest("own", "beside").alias("j"), (F.col("own") > F.col("beside")).cast("int").alias("side")).drop("own", "last", "beside")
+
+
+def _bucket_pairs(slots: int, percent: int, block: int = BLOCK):
+    """Pairs of different parts inside each pair of blocks, from rows sorted by it (task, doc_id, part, n, cluster, d, signature, side): of different sides where there are two.
 
     Pairs that agree in too few slots are passed over. Of the others, pairs of
     one cluster that both know what sets them apart from its first document
@@ -162,11 +187,15 @@ def _bucket_pairs(slots: int, percent: int, block: int = 1_024):
         bucket, doc, part, n, cluster = (own.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         signatures = np.frombuffer(b"".join(own.column(6).to_pylist()), dtype=np.uint16).reshape(len(doc), slots)
         d = own.column(5).to_pylist()
+        side = own.column(7).to_numpy()
+        two = side.min() != side.max()
         a_out, b_out, sure_out = [], [], []
         for i in range(0, len(doc), block):
             for j in range(i, len(doc), block):
                 x, y = slice(i, min(i + block, len(doc))), slice(j, min(j + block, len(doc)))
                 possible = (part[x, None] != part[None, y]) & (doc[x, None] < doc[None, y]) if i == j else part[x, None] != part[None, y]
+                if two:
+                    possible &= side[x, None] != side[None, y]
                 possible &= (100 * n[x, None] >= percent * n[None, y]) & (100 * n[None, y] >= percent * n[x, None])
                 p, q = np.nonzero(possible)
                 if not len(p):
@@ -222,14 +251,18 @@ def _links_across(sketches: DataFrame, sets: DataFrame, stars: DataFrame, rest:
     apart = own.join(of_first, "cluster", "left").select("doc_id", "cluster", F.size("shingles").alias("n"), F.concat(F.array_except("shingles", "s0"), F.array_except("s0", "shingles")).alias("d"))
     apart = materialize(apart.select("doc_id", F.coalesce("cluster", "doc_id").alias("cluster"), "n", F.when(F.size("d") <= F.col("n"), F.col("d")).alias("d")))
     signed = materialize(apart.join(sketches.select("doc_id", "signature").where("signature is not null").dropDuplicates(["doc_id"]), "doc_id"))
-    entries = rest.join(signed, "doc_id").select("bucket", "doc_id", "part", "n", "cluster", "d", "signature")
-    found = materialize(entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(K.returning(_bucket_pairs(slots, percent)), "a long, b long, sure boolean").distinct())
+    # where blocks meet others, i and j tell tasks and, with the bucket, groups apart
+    grouped = _block_pairs(rest.select("bucket", "doc_id", "part").distinct())
+    group = F.xxhash64("bucket", "i", "j").alias("task")
+    entries = grouped.join(signed, "doc_id").select(group, "doc_id", "part", "n", "cluster", "d", "signature", "side")
+    found = materialize(entries.repartition("task").sortWithinPartitions("task").mapInArrow(K.returning(_bucket_pairs(slots, percent)), "a long, b long, sure boolean").distinct())
     checked = _compared(sets, found.where("not sure").select("a", "b"), percent)
     return found.where("sure").select("a", "b").unionByName(checked.where("linked").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: links where 100 * intersection >= percent * union of shingle sets."""
+    bands, rows = bands_for(percent)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     sketches = materialize(texts.mapInArrow(K.returning(_sketch_rows(n, bands, rows)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"))
     linked = sketches.where("n_shingles > 0 and doc_id is not null")
@@ -259,14 +292,14 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, bands: in
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", **kw) -> DataFrame:
-    """docs with one document of each near-duplicate group, that of the smallest id; of rows that share an id one stays. Rows without id all stay."""
-    gone = near_duplicates(docs, id_column=id_column, **kw).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    key = F.col(f"`{id_column}`")
+def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **kw) -> DataFrame:
+    """docs with one document of each near-duplicate group, that of the smallest id; of rows that share id and text one stays. Rows without id all stay."""
+    gone = near_duplicates(docs, id_column=id_column, text_column=text_column, **kw).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    key, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
     left = docs.join(gone, key.cast("long") == F.col("__gone"), "left_anti")
     if docs.groupBy(key).count().where("count > 1").isEmpty():
         return left
-    turn = Window.partitionBy(key).orderBy(key)
+    turn = Window.partitionBy(key, F.sha2(text, 256)).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_column, text_column)]) if len(docs.columns) > 2 else F.lit(0))
     one = left.withColumn("__turn", F.row_number().over(turn)).where((F.col("__turn") == 1) | key.isNull())
     return one.select(*[f"`{c}`" for c in docs.columns])
 

@@ -136,6 +136,19 @@ def test_top_k_of_equal_vectors(spark):
             assert sorted(map(tuple, topk.top_k(df.repartitionByRange(parts, "vec_id"), df).collect())) == want
 
 
+def test_top_k_of_large_scores(spark):
+    """Scores that floats do not hold, up to 64 bits, and beyond them."""
+    for top, width in ((2.0**31, 2), (2.0**44, 3), (3.0, 2)):
+        rows = [(1, [top] * width), (2, [top + 1.0] + [top] * (width - 1)), (3, [-top] * width), (4, [top - 1.0] * width), (5, [top, top - 3] + [0.0] * (width - 2)), (6, [top + 1.0] + [top] * (width - 1)), (6, [0.0] * width)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        fit = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+        ask = sorted(rows)
+        ask = [r for i, r in enumerate(ask) if not i or ask[i - 1][0] != r[0]]
+        want = sorted((q, r + 1, i, s) for q, x in ask for r, (s, i) in enumerate(sorted(((fit(sum(int(256 * a) * int(256 * b) for a, b in zip(x, y, strict=True))), i) for i, y in rows if i != q), key=lambda p: (-p[0], p[1]))[:5]))
+        for parts in (1, 4):
+            assert sorted(map(tuple, topk.top_k(df.repartition(parts, "vec_id"), df, block_queries=2).collect())) == want
+
+
 def test_near_duplicates(docs, texts, none):
     sets = []
     for t in texts:
@@ -154,6 +167,27 @@ def test_near_duplicates(docs, texts, none):
     assert kept.columns == twice.columns and sorted(r.doc_id for r in kept.collect()) == [d for d in range(len(texts)) if d == root[d]]
 
 
+def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
+    """Buckets beyond a block, low thresholds, rows that share an id and null ids."""
+    want = sorted(map(tuple, minhash.near_duplicates(docs, n=2, percent=50).collect()))
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    assert sorted(map(tuple, minhash.near_duplicates(docs, n=2, percent=50).collect())) == want
+    assert [minhash.bands_for(p) for p in (85, 80, 40)] == [(32, 4), (32, 4), (128, 1)]
+    rng = random.Random(15)
+    base = [prose(rng, 1) for _ in range(60)]
+    rows = [(d, " ".join(prose(rng, 1) if rng.random() < 0.2 else x for x in base)) for d in range(40)]
+    sets = [set(W.findall(low(t))) for _, t in rows]
+    root = list(range(40))
+    for _ in range(40):
+        for a, b in itertools.combinations(range(40), 2):
+            if 100 * len(sets[a] & sets[b]) >= 66 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df, n=1, percent=66).collect() if r.doc_id is not None) == list(enumerate(root))
+    odd = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2), (1, "quite another text", 3), (None, None, 4), (None, None, 4)], "doc_id long, text string, Kept int")
+    assert sorted((r.doc_id or 0, r.text or "") for r in minhash.keep_one_of_each(odd).collect()) == [(0, ""), (0, ""), (1, "a b c d e f"), (1, "quite another text")]
+
+
 def test_fuzzy_passages(spark, none):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
@@ -290,6 +324,19 @@ def test_language_id(spark, none):
     assert held and sum(got[i].lang_pred == k for i, _, k in held) / len(held) > 0.95
     assert (got[300].lang_pred, got[301].lang_pred, got[302].lang_pred, got[303].lang_pred) == ("und", "und", "aa", "aa")
     assert all(0 <= r.score <= 1 for r in got.values())
+    none_learned = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(none_learned).count() == 302 and {r.lang_pred for r in langid.predict(none_learned, langid.train(none_learned)).collect()} == {"und"}
+    assert langid.train(docs, max_languages=2).languages == sorted(sorted(make, key=lambda k: (-sum(r[2] == k and r[1] is not None for r in rows), k))[:2])
+    few = [(i, t, k) for i, t, k in rows[:40]]
+    counts, total = {k: Counter() for k in make}, Counter(k for _, _, k in few)
+    grams = lambda t: [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+    for _, t, k in few:
+        counts[k].update(grams(t))
+    small = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    for r in langid.predict(small, langid.train(small, bits=20)).collect():  # no two of these n-grams share a bucket
+        logs = {k: np.log(total[k] / 40) + sum(np.log((counts[k][g] + 0.5) / (sum(counts[k].values()) + 0.5 * 2**20)) for g in grams(r.text)) for k in make}
+        best = max(logs, key=logs.get)
+        assert r.lang_pred == best and abs(r.score - 1 / sum(np.exp(x - logs[best]) for x in logs.values())) < 1e-3
     assert langid.keep_identified(docs).count() == 302 and langid.keep_identified(none).isEmpty()
 
 
@@ -394,6 +441,41 @@ def test_packing(docs, none):
         assert (r.bin_id is None) == (r.n_tokens == 0)
     assert total == {r.doc_id: len(W.findall(r.text or "")) for r in docs.collect()}
     assert packing.pack(none).isEmpty()
+    odd = docs.unionByName(docs.where("doc_id > 50").withColumn("doc_id", F.lit(None).cast("long"))).withColumn("Bin_Id", F.lit(1))
+    same = [sorted(map(str, packing.pack(odd.repartition(n), capacities=(16, 32), window_rows=20).collect())) for n in (1, 8)]
+    assert same[0] == same[1] and "1.0.0" in str(same[0])
+    long = docs.limit(0).unionByName(docs.where("doc_id = 9").withColumn("text", F.repeat(F.lit("wörd "), 100_000)))
+    assert [(r.piece, r.n_tokens) for r in packing.pack(long).orderBy("piece").collect()] == [(i, 4096) for i in range(24)] + [(24, 100_000 - 24 * 4096)]
+
+
+def test_packing_by_brute_force():
+    """Each piece goes to the fullest open bin that holds it; a bin is opened at the least price for what it can be expected to hold."""
+    rng = random.Random(14)
+    for _ in range(30):
+        capacities = (16, 32, 64)
+        lengths = [rng.randint(1, 64) for _ in range(rng.randint(1, 60))]
+        order, bins, want = sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)), [], {}
+        for step, i in enumerate(order):
+            fitting = [b for b in bins if b[0] - b[1] >= lengths[i]]
+            if fitting:
+                room = min(b[0] - b[1] for b in fitting)
+                chosen = [b for b in fitting if b[0] - b[1] == room]
+            else:
+                best = None
+                for c in capacities:
+                    if c >= lengths[i]:
+                        room = c - lengths[i]
+                        for x in sorted((lengths[k] for k in order[step + 1 :]), reverse=True):
+                            room -= x if x <= room else 0
+                        best = min(best or (2.0, 0), (c / (c - room), -c))
+                bins.append([-best[1], 0, len(bins)])
+                chosen = [bins[-1]]
+            want[i] = {b[2] for b in chosen}
+            got = packing.pack_lengths(lengths, capacities)
+            mine = got[i][0]
+            assert mine in want[i] and got[i][2] == bins[mine][1]
+            bins[mine][1] += lengths[i]
+        assert all(got[i][1] == min(c for c in capacities if c >= bins[got[i][0]][1]) for i in order)
 
 
 def test_rollups(spark, tmp_path):
