@@ -13,11 +13,15 @@ from tallgrass.session import scratch_path, table
 
 #: Rows in an Arrow batch: whole texts are long, so fewer than Spark's default.
 BATCH_ROWS = 2_048
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: The session's own setting, while the stages from language ID to secret scan run.
+_before: dict[str, str] = {}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those whose language stays unclear (operator 7)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    _before.setdefault(BATCHES, spark.conf.get(BATCHES))
+    spark.conf.set(BATCHES, BATCH_ROWS)
     return keep_identified(docs)
 
 
@@ -37,8 +41,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of several lengths (operator 2)."""
-    return pack(docs)
+    """Pack what is left into sequences of several lengths (operator 2). The texts are read at once; then the session has its own setting again."""
+    packed = pack(docs)
+    if BATCHES in _before:
+        spark.conf.set(BATCHES, _before.pop(BATCHES))
+    return packed
 
 
 STAGES = [
@@ -49,7 +56,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express packing. Tests compare ids after some of the stages, not run() with a brute-force version.
+#: SQL cannot express packing; tests hold run() against a brute-force version of the stages.
 ORACLE_SQL = None
 
 
