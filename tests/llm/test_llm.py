@@ -497,3 +497,41 @@ def test_pipeline_stages(spark, docs, texts):
     packed = corpus_pipeline.pack_sequences(spark, left, "")
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in left.collect()}
     assert [len(corpus_pipeline.STAGES), set(queries.SQL) <= set(queries.QUERIES)] == [5, True]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() over nulls, repeated rows, clashing names and planted cases; and over empty tables."""
+    rng = random.Random(21)
+    line = lambda n: [prose(rng, 1) for _ in range(n)]
+    item = line(12)
+    rows = [(i, " ".join(line(40)), "en") for i in range(40)]
+    rows += [(40, None, "en"), (41, "", None), (42, "12 34", "en"), (None, " ".join(line(30)), None)]
+    rows += [(50 + k, rows[3][1] + " " + prose(rng, 1), "en") for k in range(3)] + [rows[5], rows[5]]
+    rows += [(60, " ".join(line(20) + item[2:11] + line(20)), "en"), (61, " ".join(line(20) + item[2:9] + line(20)), "en"), (62, " ".join(line(20)) + " password = hunter22x " + " ".join(line(9)), None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Kept boolean, secrets string, Score double"
+    folder = f"file://{tmp_path}"
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), None, "own", 0.5) for r in rows], schema)
+    docs.write.parquet(f"{folder}/a/documents.parquet")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string")
+    bench.write.parquet(f"{folder}/a/benchmark.parquet")
+    before = spark.conf.get(corpus_pipeline.BATCHES)
+    got = Counter()
+    for r in corpus_pipeline.run(spark, f"{folder}/a").collect():
+        got[r.doc_id] += r.n_tokens
+    assert spark.conf.get(corpus_pipeline.BATCHES) == before
+    letter = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    sets = lambda t: {tuple(W.findall(low(t))[i : i + 5]) for i in range(len(W.findall(t)) - 4)}
+    windows = {tuple(A.findall(low(" ".join(item)))[i : i + 8]) for i in range(5)}
+    want = {}
+    for i, (d, t, _) in enumerate(letter):
+        own = sets(t)
+        if any(e is not None and d is not None and (e < d or e == d and j < i) and 100 * len(own & sets(u)) >= 80 * len(own | sets(u)) for j, (e, u, _) in enumerate(letter)):
+            continue
+        words = A.findall(low(t))
+        if any(tuple(words[k : k + 8]) in windows for k in range(len(words))):
+            continue
+        want[d] = len(W.findall(re.sub(r"password = \w+", "[REDACTED]", t)))
+    assert got == want and {51, 5, 3, 60, 40} - want.keys() == {51, 60, 40} and 61 in want and None in want
+    docs.limit(0).write.parquet(f"{folder}/b/documents.parquet")
+    bench.limit(0).write.parquet(f"{folder}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/b").isEmpty()
