@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.llm import textkernel as K
 from tallgrass.llm.langid import remainder
-from tallgrass.session import materialize, table
+from tallgrass.session import materialize, release, table
 
 _U = np.uint64
 #: The token that ends every text.
@@ -59,6 +59,8 @@ PRIOR = 2.0
 #: Tokens gathered before counts leave a worker; n-grams, repeats included, of a bucket.
 GATHER = 1 << 21
 BUCKET = 1 << 21
+#: Bits of an n-gram's hash that are kept below those of its bucket: two n-grams of a bucket become one once in half a million, at any size of the corpus.
+KEY_BITS = 40
 #: The count that a level stands for: the middle of those it covers.
 ESTIMATE = np.concatenate(([0.0], 1.5 * 2.0 ** np.arange(64) - 0.5))
 
@@ -93,6 +95,11 @@ def _grams(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs, _pair(pairs[third - 1], tokens[third]), third
 
 
+def _spare(bits: int) -> np.uint64:
+    """Low bits of a hash that are dropped where there are 2**bits buckets."""
+    return _U(max(0, 64 - bits - KEY_BITS))
+
+
 def _counted(keys: list[np.ndarray]) -> pa.RecordBatch:
     values, counts = np.unique(np.concatenate(keys), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, type=pa.int64())], names=["h", "n"])
@@ -129,13 +136,14 @@ def _numbers(raw, size: int, kind) -> np.ndarray:
 
 def _blocks(keys: list[np.ndarray], bits: int):
     """Rows (bucket, n, keys as differences, counts) of distinct keys, sorted."""
-    values, counts = np.unique(np.concatenate(keys), return_counts=True)
-    edges = np.searchsorted(values, np.arange(1 << bits, dtype=_U) << _U(64 - bits)).tolist() + [len(values)]
+    spare = _spare(bits)
+    values, counts = np.unique(np.concatenate(keys) >> spare, return_counts=True)
+    edges = np.searchsorted(values, np.arange(1 << bits, dtype=_U) << _U(64 - bits - int(spare))).tolist() + [len(values)]
     rows = []
     for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if a < b:
             own, n = values[a:b], counts[a:b]
-            rows.append((bucket, b - a, _planes(np.diff(own, prepend=_U(0))), _planes(n.astype(np.uint8 if n.max() < 256 else np.uint32))))
+            rows.append((bucket, b - a, _planes(np.diff(own, prepend=_U(bucket << (64 - bits - int(spare))))), _planes(n.astype(np.uint8 if n.max() < 256 else np.uint32))))
     columns = zip(*rows, strict=True)
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "n", "keys", "counts"])
@@ -184,7 +192,7 @@ def _filled(bucket: int, held: list, bits_a_key: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], type=pa.int32()), pa.array([words], type=pa.int64()), pa.array([table.tobytes()], type=pa.binary())], names=["bucket", "words", "bits"])
 
 
-def _builder(bits_a_key: int):
+def _builder(bits: int, bits_a_key: int):
     """From packed counts sorted by bucket to the filter of each bucket."""
 
     def build(batches):
@@ -195,7 +203,8 @@ def _builder(bits_a_key: int):
                     yield _filled(bucket, held, bits_a_key)
                     held = []
                 bucket, raw = at, counts.as_buffer()
-                held.append((np.cumsum(_numbers(keys.as_buffer(), size, _U), dtype=_U), _numbers(raw, size, np.uint8 if len(raw) == size else np.uint32).astype(np.int64)))
+                own = _U(at << (64 - bits - int(_spare(bits)))) + np.cumsum(_numbers(keys.as_buffer(), size, _U), dtype=_U)
+                held.append((own, _numbers(raw, size, np.uint8 if len(raw) == size else np.uint32).astype(np.int64)))
         if held:
             yield _filled(bucket, held, bits_a_key)
 
@@ -217,6 +226,7 @@ class Filter:
         out = np.zeros(len(keys), dtype=np.uint8)
         bucket = (keys >> _U(64 - self.bits)).astype(np.int64) - self.low
         alive = np.flatnonzero((bucket >= 0) & (bucket < self.high - self.low))
+        keys = keys >> _spare(self.bits)
         if not len(self.words):
             return out
         base = self.starts[bucket[alive]]
@@ -289,7 +299,8 @@ def train(texts: DataFrame, *, text_column: str = "text", bits_a_key: int = BITS
     frequent, counts = frequent[order], found["n"].to_numpy()[order]
     bits = max(4, (3 * tokens // BUCKET).bit_length())
     packed = rows.mapInArrow(K.returning(_count_grams(bits)), "bucket int, n long, keys binary, counts binary")
-    built = materialize(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(K.returning(_builder(bits_a_key)), "bucket int, words long, bits binary"))
+    built = materialize(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(K.returning(_builder(bits, bits_a_key)), "bucket int, words long, bits binary"))
+    release(texts.sparkSession)
     sizes = np.zeros(1 << bits, dtype=np.int64)
     for r in built.select("bucket", "words").collect():
         sizes[r["bucket"]] = r["words"]
