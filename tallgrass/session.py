@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +57,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files and checkpoints that nothing refers to any more: it acts when the driver's JVM collects garbage."""
+    """Let Spark's cleaner delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It acts when the driver's JVM collects garbage. Before that, Python must have
+    given up its references, which another thread passes on once a second, and
+    the session its last query, which it keeps until the next one has run.
+    """
+    gc.collect()
+    time.sleep(1.2)
+    spark.range(1, numPartitions=1).count()
     spark.sparkContext._jvm.System.gc()
 
 
