@@ -89,20 +89,6 @@ def e25_mode(spark, d):
     return counted.groupBy("p_size").agg(best.alias("common_brand"))
 
 
-@query("SELECT quality, list_sort(list(DISTINCT source)) AS sources, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1")
-def e27_list_union(spark, d):
-    joined = T(spark, d, "labels").join(T(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return joined.groupBy("quality").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"))
-
-
-@query("""WITH f AS (SELECT unnest([CASE WHEN n_chars < 100 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN text IS NULL THEN 'empty' END]) AS criterion, doc_id, source FROM documents)
-SELECT criterion, count(*) AS n, count(DISTINCT source) AS sources FROM f WHERE criterion IS NOT NULL GROUP BY 1""")
-def e30_staleness_criteria(spark, d):
-    flags = F.array(F.when(F.col("n_chars") < 100, "short"), F.when(F.col("lang") != "en", "foreign"), F.when(F.col("text").isNull(), "empty"))
-    rows = T(spark, d, "documents").select("source", F.explode(flags).alias("criterion")).where("criterion is not null")
-    return rows.groupBy("criterion").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
-
-
 @query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS before_n, coalesce(b.n, 0) AS after_n FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a
 FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""")
 def e32_before_and_after(spark, d):
