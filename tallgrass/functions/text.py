@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Turkish letters and stop words that tell Turkish from English.
+# Letters that only Turkish has, of the two languages.
 TURKISH_LETTERS = "çğıöşüÇĞİÖŞÜ"
 
 
@@ -43,10 +43,14 @@ def turkish_fold(text) -> Column:
     return F.lower(F.translate(_c(text), "Iİ", "ıi"))
 
 
+#: Punctuation that is stripped from the edges of words.
+EDGES = ".,;:!?()[]{}\"'`«»"
+
+
 def content_tokens(text) -> Column:
-    """Words without punctuation at their edges, if letters or digits are left."""
-    bare = F.transform(words(text), lambda w: F.regexp_replace(w, r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(bare, lambda w: w.rlike(r"(?U)^[\p{L}\p{N}]+$"))
+    """Words in lower case without punctuation at their edges, if a letter or digit is left: decimals and part numbers stay whole."""
+    bare = F.transform(words(F.lower(_c(text))), lambda w: F.trim(w, F.lit(EDGES)))
+    return F.filter(bare, lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
 def digit_runs(text) -> Column:
@@ -86,15 +90,15 @@ def is_page_number(text) -> Column:
 
 
 def toc_entry(text) -> Column:
-    """struct(title, page) of a dotted contents line, or null."""
-    pattern = r"^\s*(.+?)\s*(?:\.\s?){3,}\s*(\d{1,4})\s*$"
-    title = F.regexp_extract(_c(text), pattern, 1)
-    return F.when(title != "", F.struct(title.alias("title"), F.regexp_extract(_c(text), pattern, 2).cast("int").alias("page")))
+    """struct(title, page) of a contents line, which ends in a page number, with or without dots before it; null for other lines."""
+    title = F.rtrim(F.regexp_replace(F.rtrim(F.regexp_extract(_c(text), r"(?s)^(.*?)(\d+)\s*$", 1)), r"[.\s]{2,}$", ""))
+    page = F.regexp_extract(_c(text), r"(\d+)\s*$", 1)
+    return F.when((page != "") & (title != ""), F.struct(title.alias("title"), page.try_cast("int").alias("page")))
 
 
-def product_codes(text) -> Column:
-    """Distinct codes like ABC-1234 in order of first appearance, upper case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(_c(text), F.lit(r"(?i)\b([a-z]{2,5}-\d{2,6}[a-z0-9-]*)\b"), F.lit(1)), F.upper))
+def product_codes(text, pattern: str = r"\b([a-z]{2,5}-\d{2,6}[a-z0-9-]*)\b") -> Column:
+    """Distinct codes in order of first appearance, upper case: group 1 of the configured pattern, in any case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(_c(text), F.lit(f"(?i){pattern}"), F.lit(1)), F.upper))
 
 
 def numeric(text) -> Column:
@@ -130,12 +134,14 @@ def sentences(text) -> Column:
     return F.filter(F.split(F.trim(_c(text)), r"(?<=[.!?…])\s+"), lambda s: s != "")
 
 
-def detect_language(text) -> Column:
-    """tr or en: special letters, then stop words; ties are tr."""
-    # Frequent function words.
-    turkish = ["ve", "bir", "bu", "için", "ile", "mi", "ne", "var", "nedir", "hangi"]
-    english = ["the", "and", "is", "of", "to", "what", "which", "a", "in", "for"]
-    low = F.transform(words(F.lower(_c(text))), lambda w: F.regexp_replace(w, r"[.,!?;:]", ""))
+# Frequent words that tell Turkish from English.
+TURKISH_WORDS = ["ne", "nedir", "nasil", "nasıl", "hangi", "kac", "kaç", "icin", "için", "var", "yok", "mi", "mı", "mu", "mü", "bana", "lutfen", "lütfen", "bir", "bu", "su", "şu", "ile", "ve", "veya", "degil", "değil", "olan", "olur", "gibi", "daha", "en", "urun", "ürün", "fiyat", "teklif", "belge", "dosya", "ozellik", "özellik", "karsilastir", "karşılaştır", "goster", "göster", "listele", "istiyorum", "lazim", "lazım", "merhaba", "selam", "tesekkur", "teşekkür", "evet", "hayir", "hayır", "tamam", "tabii", "tabi", "peki", "hem", "de", "ama", "sonra", "simdi", "şimdi"]
+ENGLISH_WORDS = ["what", "which", "how", "many", "much", "is", "are", "the", "a", "an", "do", "does", "can", "could", "would", "you", "i", "me", "my", "we", "our", "for", "with", "and", "or", "not", "of", "to", "in", "on", "it", "this", "that", "please", "need", "want", "show", "list", "send", "give", "tell", "about", "between", "compare", "price", "quote", "document", "file", "spec", "specs", "feature", "features", "hello", "hi", "thanks", "thank", "yes", "yeah", "yep", "no", "nope", "ok", "okay", "sure", "sounds", "good", "got", "right", "correct", "also", "then", "but", "more", "another", "other", "one", "both"]
+
+
+def detect_language(text, turkish: list[str] = TURKISH_WORDS, english: list[str] = ENGLISH_WORDS) -> Column:
+    """tr or en: a special letter is Turkish, else the language with more known words; ties, and text without words, are tr."""
+    low = F.transform(F.regexp_extract_all(_c(text), F.lit("[a-zA-Z]+"), F.lit(0)), F.lower)
     hits = lambda known: F.size(F.filter(low, lambda w: w.isin(known)))
     return F.when(_c(text).rlike(f"[{TURKISH_LETTERS}]"), "tr").when(hits(english) > hits(turkish), "en").otherwise("tr")
 

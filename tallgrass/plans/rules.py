@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallgrass.functions import text as X
 from tallgrass.operators import facts, rules
 from tallgrass.plans.catalog import query
 from tallgrass.session import table as T
@@ -511,3 +512,71 @@ def i40_overlap_area(spark, d):
     a = box((key % 7).cast("double"), n(0), (key % 7) + 10.0, n(5))
     b = box(n(8), (key % 3).cast("double"), n(12), (key % 3) + 3.0)
     return T(spark, d, "orders").select("o_orderkey", a.alias("a"), b.alias("b")).select("o_orderkey", rules.overlap_area("a", "b").alias("area"))
+
+
+# ---- text and fact rules ---------------------------------------------------------------------------------
+
+_EDGES = X.EDGES.replace("'", "''")
+
+
+@query(rf"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n, sha256(array_to_string(t, ' ')) AS tokens FROM
+(SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: trim(x, '{_EDGES}')), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS t FROM documents)""")
+def i09_content_tokens(spark, d):
+    tokens = X.content_tokens(F.coalesce("text", F.lit("")))
+    return T(spark, d, "documents").select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("tokens"))
+
+
+@query(r"""SELECT p_partkey, title, page FROM (SELECT p_partkey, rtrim(regexp_replace(rtrim(regexp_extract(t, '(?s)^(.*?)(\d+)\s*$', 1)), '[.\s]{2,}$', '')) AS title, TRY_CAST(regexp_extract(t, '(\d+)\s*$', 1) AS INTEGER) AS page
+FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' ..... ' || p_size WHEN 1 THEN p_brand || ' ' || p_size || ' ' ELSE p_name END AS t FROM part)) WHERE page IS NOT NULL AND title <> ''""")
+def i18_contents_entries(spark, d):
+    third = F.col("p_partkey") % 3
+    line = F.when(third == 0, F.concat_ws(" ..... ", "p_name", "p_size")).when(third == 1, F.concat("p_brand", F.lit(" "), "p_size", F.lit(" "))).otherwise(F.col("p_name"))
+    return T(spark, d, "part").select("p_partkey", X.toc_entry(line).alias("e")).where("e is not null").select("p_partkey", "e.title", "e.page")
+
+
+_HITS = "len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: list_contains([{}], w)))"
+_TR, _EN = (_HITS.format(", ".join(f"'{w}'" for w in known)) for known in (X.TURKISH_WORDS, X.ENGLISH_WORDS))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '[{X.TURKISH_LETTERS}]') THEN 'tr' WHEN {_EN} > {_TR} THEN 'en' ELSE 'tr' END AS lang FROM conversations")
+def i23_language(spark, d):
+    return T(spark, d, "conversations").select("conv_id", "turn", X.detect_language(F.coalesce("text", F.lit(""))).alias("lang"))
+
+
+@query("SELECT p_partkey, ['BRAND#' || regexp_extract(p_brand, '[0-9]+')] AS codes FROM part")
+def i24_product_codes(spark, d):
+    return T(spark, d, "part").select("p_partkey", X.product_codes(F.concat_ws(" or ", "p_brand", F.lower("p_brand")), r"(brand#\d+)").alias("codes"))
+
+
+def _ends(spark, d):
+    """Parts as facts of four kinds with ends that may be missing or out of order."""
+    key, size, none = F.col("p_partkey"), F.col("p_size").cast("double"), F.lit(None)
+    kind = F.element_at(F.array(*map(F.lit, ("range", "min_typ_max", "single", "boolean"))), (key % 4 + 1).cast("int"))
+    low, high = F.when(key % 5 > 0, size), F.when(key % 7 > 1, 50 - size)
+    return T(spark, d, "part").select(
+        "p_partkey", "p_brand", kind.alias("kind"), F.when(key % 11 == 0, "absent").otherwise("present").alias("status"), F.when(key % 3 == 0, size).alias("num_value"), none.cast("string").alias("text_value"), low.alias("val_min"), F.when(key % 2 == 0, F.lit(25.0)).alias("val_typ"), high.alias("val_max"),
+        none.cast("boolean").alias("bool_value"), none.cast("array<struct<ordinal:int,item_code:string,item_text:string>>").alias("items"), none.cast("string").alias("source_chunk_id"), F.col("p_name").alias("raw_text"), key.alias("ord"))
+
+
+_ENDS_SQL = """SELECT p_partkey, p_brand, ['range', 'min_typ_max', 'single', 'boolean'][p_partkey % 4 + 1] AS kind, CASE WHEN p_partkey % 11 = 0 THEN 'absent' ELSE 'present' END AS status, CASE WHEN p_partkey % 3 = 0 THEN p_size * 1.0 END AS num,
+CASE WHEN p_partkey % 5 > 0 THEN p_size * 1.0 END AS low, CASE WHEN p_partkey % 2 = 0 THEN 25.0 END AS typ, CASE WHEN p_partkey % 7 > 1 THEN 50.0 - p_size END AS high FROM part"""
+
+
+@query(f"""SELECT p_partkey, CASE WHEN status <> 'present' AND coalesce(num, low, typ, high) IS NOT NULL THEN 'payload without presence' WHEN status = 'absent' THEN 'absence without source' WHEN kind = 'single' AND num IS NULL THEN 'single without exactly one value'
+WHEN kind = 'boolean' THEN 'boolean without value' WHEN kind = 'range' AND low IS NULL AND high IS NULL THEN 'range without ends' WHEN kind = 'min_typ_max' AND coalesce(low, typ, high) IS NULL THEN 'no end'
+WHEN low > high THEN 'ends out of order' WHEN typ < low OR typ > high THEN 'typical outside the ends' END AS reason FROM ({_ENDS_SQL})""")
+def b14_fact_validity(spark, d):
+    return _ends(spark, d).select("p_partkey", facts.invalid_reason(F.col("kind")).alias("reason"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN status <> 'present' OR kind IN ('single', 'boolean') AND kind = 'single' THEN num WHEN kind = 'boolean' THEN num WHEN typ IS NOT NULL THEN typ WHEN low = high OR low IS NULL OR high IS NULL THEN coalesce(low, high, num) ELSE num END AS num_value,
+CASE WHEN status <> 'present' OR kind = 'single' THEN NULL WHEN kind = 'boolean' THEN 'kind mismatch' WHEN typ IS NOT NULL THEN NULL WHEN low IS NULL AND high IS NULL THEN 'kind mismatch' WHEN low <> high THEN 'kind mismatch' END AS reason FROM ({_ENDS_SQL})""")
+def i29_kind_coercion(spark, d):
+    """Facts of all kinds as singles where that loses nothing."""
+    return facts.coerce_kind(_ends(spark, d).withColumn("wanted", F.lit("single"))).select("p_partkey", "num_value", "reason")
+
+
+@query()
+def e28_interval_merge(spark, d):
+    """Halves of one interval of each brand joined; SQL has no such fold, so a test compares it with brute force."""
+    return facts.interval_merge(_ends(spark, d).where("kind = 'min_typ_max'"), ["p_brand"])

@@ -1,4 +1,6 @@
 import os
+import random
+import re
 
 import duckdb
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import text as X
 from tallgrass.operators import changes, facts, relational, structure, vectors
-from tallgrass.plans import catalog, lookups  # noqa: F401  (lookups registers its queries)
+from tallgrass.plans import catalog, lookups, rules  # noqa: F401  (the latter two register their queries)
 from tallgrass.sources import markdown
 from tallgrass.sources.html import parse_html
 from tallgrass.streaming import state
@@ -41,6 +43,10 @@ def test_text_functions(spark):
     assert one(spark, X.numeric("t"), t="x") is None
     assert one(spark, X.heading_number("t"), t="2.10.3 Title") == [2, 10, 3]
     assert one(spark, X.toc_entry("t"), t="Setup ......... 12").asDict() == {"title": "Setup", "page": 12}
+    assert one(spark, X.toc_entry("t"), t="Relay Type 2").asDict() == {"title": "Relay Type", "page": 2} and one(spark, X.toc_entry("t"), t="12") is None and one(spark, X.toc_entry("t"), t="no page") is None
+    assert one(spark, X.content_tokens("t"), t="Supply (3.5 V), 24-pin = →") == ["supply", "3.5", "v", "24-pin"]
+    assert [one(spark, X.detect_language("t"), t=t) for t in ("What is the price?", "fiyat nedir", "Größe", "xyz", "kaç the the", "")] == ["en", "tr", "tr", "tr", "tr", "tr"]
+    assert one(spark, X.product_codes("t", r"\b(pxi\d+)\b"), t="PXI12 and pxi12 or PN-33") == ["PXI12"]
     assert one(spark, X.product_codes("t"), t="see abc-123 and ABC-123, XY-99") == ["ABC-123", "XY-99"]
     assert one(spark, X.pipe_cells("t"), t=r"| a \| b | c |") == ["a | b", "c"]
     assert one(spark, X.base_name("t"), t="a\\b/c.txt") == "c.txt"
@@ -69,14 +75,74 @@ def test_heading_paths_and_chunks(spark):
     assert all(r.tokens <= 60 and not r.overflow for r in out) and out[0].text.startswith("**A**")
 
 
-def test_facts(spark):
-    schema = "status string, num_value double, text_value string, val_min double, val_typ double, val_max double, bool_value boolean, kind string"
-    rows = [("present", 1.0, None, None, None, None, None, "single"), ("present", None, None, 5.0, None, 2.0, None, "range"), ("absent", 1.0, None, None, None, None, None, "single")]
-    got = [r.r for r in spark.createDataFrame(rows, schema).select(facts.invalid_reason(F.col("kind")).alias("r")).collect()]
-    assert got == [None, "ends out of order", "payload without presence"]
-    halves = spark.createDataFrame([("k", 1.0, None, None), ("k", None, None, 9.0), ("q", 1.0, None, None), ("q", 2.0, None, None)], "k string, val_min double, val_typ double, val_max double")
-    got = sorted((r.k, r.val_min, r.val_max) for r in facts.interval_merge(halves, ["k"]).collect())
-    assert got == [("k", 1.0, 9.0), ("q", 1.0, None), ("q", 2.0, None)]
+FACT = "status string, kind string, num_value double, text_value string, val_min double, val_typ double, val_max double, bool_value boolean, items array<struct<ordinal:int,item_code:string,item_text:string>>, source_chunk_id string, raw_text string"
+
+
+def fact(kind, status="present", **kw):
+    names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", FACT)]
+    return tuple({"kind": kind, "status": status, **kw}.get(n) for n in names)
+
+
+def test_fact_validity(spark):
+    item = [(1, "a", "A")]
+    cases = [
+        (fact("single", num_value=1.0), None), (fact("single", num_value=1.0, text_value="x"), "single without exactly one value"), (fact("single"), "single without exactly one value"),
+        (fact("range", val_min=5.0, val_max=2.0), "ends out of order"), (fact("range", val_max=2.0), None), (fact("range"), "range without ends"), (fact("min_typ_max", val_typ=3.0, val_max=2.0), "typical outside the ends"),
+        (fact("min_typ_max"), "no end"), (fact("boolean"), "boolean without value"), (fact("boolean", bool_value=False), None), (fact("list"), "list without items"), (fact("list", items=item), None), (fact("conditional", num_value=2.0), None),
+        (fact("single", "absent", num_value=1.0), "payload without presence"), (fact("single", "absent"), "absence without source"), (fact("single", "absent", source_chunk_id="d::c1"), None), (fact("single", "not_specified"), None), (fact("single", "conflicting"), "unknown status"), (fact("single", None), "unknown status"),
+    ]
+    got = [r.r for r in spark.createDataFrame([c for c, _ in cases], FACT).select(facts.invalid_reason(F.col("kind")).alias("r")).collect()]
+    assert got == [w for _, w in cases]
+    words = spark.createDataFrame([("12", "x")], "val_min string, val_max string").select(F.lit("present").alias("status"), F.lit("range").alias("kind"), F.lit(None).cast("double").alias("num_value"), F.lit(None).alias("text_value"), "val_min", F.lit(None).alias("val_typ"), "val_max", F.lit(None).alias("bool_value"), F.array().alias("items"), F.lit(None).alias("source_chunk_id"))
+    assert words.select(facts.invalid_reason(F.col("kind")).alias("r")).first().r == "val_max is not a number"
+
+
+def test_kind_coercion(spark):
+    item = [(1, "a", "A")]
+    cases = [
+        ("conditional", fact("single", num_value=8.0), {"kind": "conditional", "num_value": 8.0}), ("single", fact("conditional", num_value=8.0), {"kind": "single"}), ("single", fact("range", val_min=2.0, val_max=2.0), {"num_value": 2.0, "val_min": None, "val_max": None}),
+        ("single", fact("min_typ_max", val_min=1.0, val_typ=2.0), {"num_value": 2.0, "val_typ": None}), ("single", fact("range", val_min=1.0, val_max=2.0), {"reason": "kind mismatch", "kind": "range", "val_min": 1.0}), ("single", fact("list", items=item), {"text_value": "a", "items": None}),
+        ("single", fact("list", items=item * 2), {"reason": "kind mismatch"}), ("min_typ_max", fact("single", num_value=3.0), {"val_typ": 3.0, "num_value": None}), ("min_typ_max", fact("range", val_max=3.0), {"kind": "min_typ_max", "val_max": 3.0}), ("min_typ_max", fact("min_typ_max", num_value=3.0), {"val_typ": 3.0, "num_value": None}),
+        ("range", fact("min_typ_max", val_min=1.0, val_typ=2.0), {"val_min": 1.0, "val_typ": None}), ("range", fact("min_typ_max", val_typ=2.0), {"val_min": 2.0, "val_max": 2.0, "val_typ": None}), ("range", fact("single", num_value=4.0), {"val_min": 4.0, "val_max": 4.0, "num_value": None}), ("range", fact("range", num_value=4.0), {"val_min": 4.0}),
+        ("list", fact("single", text_value="Two Way"), {"items": [(1, "two_way", "Two Way")], "text_value": None}), ("list", fact("range", val_min=1.0, raw_text="from 1"), {"items": [(1, "from_1", "from 1")], "val_min": None}), ("list", fact("boolean", bool_value=True), {"reason": "kind mismatch"}),
+        ("boolean", fact("single", num_value=1.0), {"reason": "kind mismatch"}), ("boolean", fact("single", "absent"), {"kind": "boolean", "reason": None}),
+    ]
+    rows = [(*row, to, i) for i, (to, row, _) in enumerate(cases)]
+    got = facts.coerce_kind(spark.createDataFrame(rows, f"{FACT}, wanted string, i int")).orderBy("i").collect()
+    for r, (_, _, want) in zip(got, cases, strict=True):
+        for name, value in {"reason": None, **want}.items():
+            mine = [tuple(x) for x in r[name]] if isinstance(r[name], list) else r[name]
+            assert mine == value, (r, name)
+
+
+def test_interval_merge_by_brute_force(spark):
+    rng = random.Random(7)
+    pick = lambda: rng.choice([None, None, 1.0, 2.0, 3.0])
+    rows = [(f"k{i % 40}", i, rng.choice(["present", "present", "absent"]), pick(), pick(), pick()) for i in range(240)]
+    rows = [(*r[:3], None, None, None) if r[2] == "absent" else r for r in rows]
+    want = {}
+    for key, _, status, *ends in rows:
+        values = want.setdefault(key, {})
+        values[status, *ends] = values.get((status, *ends), 0) + 1
+    folded = []
+    for key, values in want.items():
+        groups = []
+        for (status, *ends), n in values.items():
+            for g in groups:
+                both = [a if a is not None else b for a, b in zip(g[1], ends, strict=True)]
+                clash = any(a is not None and b is not None and a != b for a, b in zip(g[1], ends, strict=True))
+                fills = any((a is None) != (b is None) for a, b in zip(g[1], ends, strict=True))
+                low, typical, high = both
+                ordered = not ((low is not None and high is not None and low > high) or (typical is not None and ((low is not None and typical < low) or (high is not None and typical > high))))
+                if g[0] == status and not clash and fills and ordered:
+                    g[1], g[2] = both, g[2] + n
+                    break
+            else:
+                groups.append([status, ends, n])
+        folded += [(key, g[0], *g[1], g[2]) for g in groups]
+    df = spark.createDataFrame(rows, "key string, ord int, status string, val_min double, val_typ double, val_max double")
+    got = [tuple(r) for r in facts.interval_merge(df.repartition(3), ["key"]).collect()]
+    assert sorted(got, key=str) == sorted(folded, key=str) and facts.interval_merge(df.limit(0), ["key"]).isEmpty()
 
 
 def test_scan_diff_moves_and_deletes(spark):
