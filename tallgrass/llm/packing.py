@@ -35,6 +35,8 @@ from tallgrass.llm import textkernel as K
 from tallgrass.session import materialize, table
 
 CAPACITIES = (512, 1024, 2048, 4096)
+#: Tasks that pack at most; each takes one window after another.
+MOST_TASKS = 100_000
 SCHEMA = "doc_id long, piece int, first_token long, n_tokens long, bin_id string, bin_size int, bin_offset int"
 
 
@@ -195,7 +197,8 @@ def pack(docs: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, counter:
     counted = materialize(texts.mapInArrow(K.returning(_counter_rows(counter)), "doc_id long, n_tokens long"))
     windows = max(1, round(counted.count() / window_rows))
     dealt = counted.withColumn("window", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(windows)))
-    dealt = dealt.repartition("window").sortWithinPartitions("window", "doc_id", "n_tokens")
+    # as many tasks as windows: lengths are few bytes, so that Spark would join them all into one
+    dealt = dealt.repartition(min(windows, MOST_TASKS), "window").sortWithinPartitions("window", "doc_id", "n_tokens")
     return dealt.mapInArrow(_packer(tuple(capacities), price, window_rows), SCHEMA)
 
 
