@@ -331,9 +331,9 @@ def f05_reset(spark, d):
     return rules.reset(T(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey", ["o_orderstatus"])
 
 
-@query("""SELECT o_custkey, o_orderpriority, "at", CAST(k AS INTEGER) AS place FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS "at", row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey), o_orderpriority) AS k FROM orders GROUP BY 1, 2) WHERE k <= 3""")
+@query("""SELECT o_custkey, o_orderpriority, seen_at, CAST(k AS INTEGER) AS place FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS seen_at, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey), o_orderpriority) AS k FROM orders GROUP BY 1, 2) WHERE k <= 3""")
 def f08_first_seen(spark, d):
-    return rules.first_seen(T(spark, d, "orders"), ["o_custkey"], "o_orderpriority", "o_orderkey", 3)
+    return rules.first_seen(T(spark, d, "orders"), ["o_custkey"], "o_orderpriority", "o_orderkey", 3).withColumnRenamed("at", "seen_at")
 
 
 @query("SELECT max('report-' || strftime(o_orderdate, '%Y-%m-%d') || '.json') AS report FROM orders")
@@ -370,8 +370,8 @@ def f18_leaf_ordinals(spark, d):
 # ---- facts ------------------------------------------------------------------------------------------
 
 
-@query("""SELECT p_partkey, CASE WHEN k IN (2, 3) THEN p_size - 1.0 END AS low, CASE WHEN k IN (2, 3) THEN p_size * 1.0 END AS typical, CASE WHEN k IN (2, 3) THEN p_size + 1.0 END AS high,
-CASE WHEN k IN (0, 4) THEN p_size * 1.0 WHEN k = 1 THEN CASE WHEN p_size > 20 THEN 1.0 ELSE 0.0 END END AS value FROM (SELECT *, p_partkey % 6 AS k FROM part)""")
+@query("""SELECT p_partkey, CASE WHEN k IN (2, 3) THEN p_size - 1::DOUBLE END AS low, CASE WHEN k IN (2, 3) THEN p_size::DOUBLE END AS typical, CASE WHEN k IN (2, 3) THEN p_size + 1::DOUBLE END AS high,
+CASE WHEN k IN (0, 4) THEN p_size::DOUBLE WHEN k = 1 THEN CASE WHEN p_size > 20 THEN 1::DOUBLE ELSE 0 END END AS value FROM (SELECT *, p_partkey % 6 AS k FROM part)""")
 def m02_kind_slots(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("single", "boolean", "range", "min_typ_max", "conditional", "list"))), (F.col("p_partkey") % 6 + 1).cast("int"))
     size = F.col("p_size")
@@ -448,10 +448,10 @@ def j02_boolean_fill(spark, d):
 
 
 @query("""WITH l AS (SELECT l_partkey, l_linenumber AS ord, CAST(l_orderkey AS VARCHAR) AS doc FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))
-SELECT l_partkey, list(doc ORDER BY ord, doc) AS evidence, arg_min(doc, (ord, doc)) AS "primary" FROM l GROUP BY 1""")
+SELECT l_partkey, list(doc ORDER BY ord, doc) AS evidence, arg_min(doc, (ord, doc)) AS primary_doc FROM l GROUP BY 1""")
 def h03_forgotten(spark, d):
     rows = T(spark, d, "lineitem").select("l_partkey", F.col("l_linenumber").alias("ord"), F.col("l_orderkey").cast("string").alias("doc_id"))
-    return rules.forgotten(rows, T(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("doc_id")), "l_partkey")
+    return rules.forgotten(rows, T(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("doc_id")), "l_partkey").withColumnRenamed("primary", "primary_doc")
 
 
 @query("SELECT DISTINCT o_custkey AS c_custkey, CASE WHEN c_custkey IS NULL THEN 'unmatched' WHEN c_acctbal > 0 THEN 'changed' ELSE 'already_inactive' END AS verdict FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = o_custkey")
@@ -505,7 +505,7 @@ def i21_capped_text(spark, d):
     return T(spark, d, "documents").select("doc_id", rules.capped_table(F.split(F.coalesce("text", F.lit("")), "\n"), 3).alias("capped"))
 
 
-@query("""SELECT o_orderkey, greatest(0.0, least(10.0 + o_orderkey % 7, 12.0) - greatest(o_orderkey % 7, 8.0)) * greatest(0.0, least(5.0, 3.0 + o_orderkey % 3) - greatest(0.0, o_orderkey % 3)) AS area FROM orders""")
+@query("""SELECT o_orderkey, CAST(greatest(0, least(10 + o_orderkey % 7, 12) - greatest(o_orderkey % 7, 8)) * greatest(0, least(5, 3 + o_orderkey % 3) - greatest(0, o_orderkey % 3)) AS DOUBLE) AS area FROM orders""")
 def i40_overlap_area(spark, d):
     box = lambda x0, y0, x1, y1: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
     key, n = F.col("o_orderkey"), lambda v: F.lit(float(v))
@@ -558,8 +558,8 @@ def _ends(spark, d):
         none.cast("boolean").alias("bool_value"), none.cast("array<struct<ordinal:int,item_code:string,item_text:string>>").alias("items"), none.cast("string").alias("source_chunk_id"), F.col("p_name").alias("raw_text"), key.alias("ord"))
 
 
-_ENDS_SQL = """SELECT p_partkey, p_brand, ['range', 'min_typ_max', 'single', 'boolean'][p_partkey % 4 + 1] AS kind, CASE WHEN p_partkey % 11 = 0 THEN 'absent' ELSE 'present' END AS status, CASE WHEN p_partkey % 3 = 0 THEN p_size * 1.0 END AS num,
-CASE WHEN p_partkey % 5 > 0 THEN p_size * 1.0 END AS low, CASE WHEN p_partkey % 2 = 0 THEN 25.0 END AS typ, CASE WHEN p_partkey % 7 > 1 THEN 50.0 - p_size END AS high FROM part"""
+_ENDS_SQL = """SELECT p_partkey, p_brand, ['range', 'min_typ_max', 'single', 'boolean'][p_partkey % 4 + 1] AS kind, CASE WHEN p_partkey % 11 = 0 THEN 'absent' ELSE 'present' END AS status, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE END AS num,
+CASE WHEN p_partkey % 5 > 0 THEN p_size::DOUBLE END AS low, CASE WHEN p_partkey % 2 = 0 THEN 25::DOUBLE END AS typ, CASE WHEN p_partkey % 7 > 1 THEN 50 - p_size::DOUBLE END AS high FROM part"""
 
 
 @query(f"""SELECT p_partkey, CASE WHEN status <> 'present' AND coalesce(num, low, typ, high) IS NOT NULL THEN 'payload without presence' WHEN status = 'absent' THEN 'absence without source' WHEN kind = 'single' AND num IS NULL THEN 'single without exactly one value'
