@@ -3,6 +3,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,29 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("latest").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("latest").collect())) == sorted(map(tuple, state.latest_state(events, "user_id", "event_id", "event_type").collect()))
+
+
+def test_top_k_on_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [1.0, None]), (7, [1.0, float("nan")]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (9, [2.0, 0.0]), (10, [-1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = lambda metric, k: [tuple(r) for r in vectors.top_k(df, df.where("vec_id in (2, 4, 7)"), k=k, metric=metric).orderBy("query_id", "rank").collect()]
+    assert got("cosine", 3) == [(2, 1, 1, 1.0), (2, 2, 9, 1.0), (2, 3, 3, 0.0)]
+    assert got("dot", 9) == [(2, 1, 9, 2.0), (2, 2, 1, 1.0), (2, 3, 3, 0.0), (2, 4, 10, -1.0)]
+    assert got("euclid", 2) == [(2, 1, 1, 0.0), (2, 2, 3, 1.0)]
+    assert vectors.top_k(df.limit(0), df, k=2).isEmpty() and vectors.top_k(df, df.limit(0), k=2).isEmpty()
+    with pytest.raises(ValueError):
+        vectors.top_k(df, df, k=2, max_queries=3)
+
+
+def test_top_k_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    points = rng.integers(-2, 3, size=(6_000, 4)).astype(float)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>").repartition(2)
+    for metric in ("dot", "euclid"):
+        want = []
+        for q in range(0, 6_000, 500):
+            near = points @ points[q] if metric == "dot" else -np.sqrt(((points - points[q]) ** 2).sum(1))
+            order = [i for i in np.lexsort((np.arange(6_000), -np.round(near, 6))).tolist() if i != q][:5]
+            want += [(q, r + 1, i, round(abs(near[i]) if metric == "euclid" else near[i], 6)) for r, i in enumerate(order)]
+        found = vectors.top_k(df, df.where("vec_id % 500 = 0"), k=5, metric=metric).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in found] == want
