@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import text as X
 from tallgrass.operators import changes, facts, relational, structure, vectors
-from tallgrass.plans import catalog, lookups, rules  # noqa: F401  (the latter two register their queries)
+from tallgrass.plans import blocks, catalog, lookups, rules  # noqa: F401  (all register their queries with catalog)
 from tallgrass.sources import markdown
 from tallgrass.sources.html import parse_html
 from tallgrass.streaming import state
