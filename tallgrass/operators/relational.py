@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallgrass.session import materialize
+
 # ---- filters -----------------------------------------------------------------
 
 
@@ -59,15 +61,23 @@ def best_ancestor(rows: DataFrame, nodes: DataFrame, levels: list[str], value: s
 
 
 def descendants(edges: DataFrame, parent: str, child: str) -> DataFrame:
-    """(ancestor, node, depth) for every node below every ancestor of a forest, by doubling joins: log2(depth) rounds."""
-    paths = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node"), F.lit(1).alias("depth"))
+    """(ancestor, node, depth) for every node below every ancestor, by doubling joins: log2(depth) rounds.
+
+    Each round is written to the shared folder, so plans stay short and a lost
+    executor costs one round. Edges with a null end join nothing and are left
+    out; repeated edges count once; depth is the shortest way; in a cycle a node
+    is below itself; without edges there are no rows.
+    """
+    paths = materialize(edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node"), F.lit(1).alias("depth")).where("ancestor is not null and node is not null").distinct())
+    known = (-1, -1)
     while True:
+        now = paths.agg(F.count("*"), F.coalesce(F.sum("depth"), F.lit(0))).first()
+        if tuple(now) == known:
+            return paths
+        known = tuple(now)
         a, b = paths.alias("a"), paths.alias("b")
         longer = a.join(b, F.col("a.node") == F.col("b.ancestor")).select(F.col("a.ancestor"), F.col("b.node"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        grown = paths.unionByName(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
-        if grown.count() == paths.count():
-            return paths
-        paths = grown
+        paths = materialize(paths.unionByName(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
 
 
 def neighbours(rows: DataFrame, group: str, order: str, key: str) -> DataFrame:
@@ -81,10 +91,24 @@ def coverage_gap(grid: DataFrame, values: DataFrame, keys: list[str]) -> DataFra
 
 
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Points inside spans, both ends included: spans are dealt into buckets of width, so it is an equi-join with a check."""
-    at = points.withColumn("__b", F.floor(F.col(point) / width))
-    over = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return at.join(over, "__b").where(F.col(point).between(F.col(low), F.col(high))).drop("__b")
+    """Points inside spans, both ends included, as an equi-join on buckets with a check.
+
+    A span goes to buckets of its own scale, width doubled until the span is no
+    longer than a bucket, so it meets two at most, however long it is. Points go
+    to one bucket a scale in use, of which there are as many as the logarithm of
+    the spans' lengths; these few numbers are read by the driver. Ends may be
+    infinite. Null points and ends, NaN and spans whose ends are in the wrong
+    order meet nothing.
+    """
+    finite = lambda x: F.greatest(F.lit(-1e280), F.least(F.lit(1e280), F.col(x).cast("double")))
+    sound = spans.where(F.col(low) <= F.col(high)).where(~F.isnan(F.col(high).cast("double")))
+    length = (finite(high) - finite(low)) / width
+    scaled = sound.withColumn("__s", F.when(length > 1, F.ceil(F.log2(length))).otherwise(0).cast("int"))
+    scales = sorted(r[0] for r in scaled.select("__s").distinct().collect())
+    bucket = lambda x, scale: F.floor(x / (F.lit(float(width)) * F.pow(F.lit(2.0), scale)))
+    at = points.where(F.col(point).isNotNull()).withColumn("__s", F.explode(F.array(*map(F.lit, scales)).cast("array<int>"))).withColumn("__b", bucket(finite(point), F.col("__s")))
+    over = scaled.withColumn("__b", F.explode(F.sequence(bucket(finite(low), F.col("__s")), bucket(finite(high), F.col("__s")))))
+    return at.join(over, ["__s", "__b"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__s", "__b")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:

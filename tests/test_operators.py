@@ -194,3 +194,20 @@ def test_top_k_equals_brute_force(spark):
             want += [(q, r + 1, i, round(abs(near[i]) if metric == "euclid" else near[i], 6)) for r, i in enumerate(order)]
         found = vectors.top_k(df, df.where("vec_id % 500 = 0"), k=5, metric=metric).orderBy("query_id", "rank").collect()
         assert [tuple(r) for r in found] == want
+
+
+def test_range_join_over_all_scales(spark):
+    rng, inf = random.Random(5), float("inf")
+    points = [(i, rng.choice([None, rng.uniform(-50, 50), rng.uniform(-1e6, 1e6), float(rng.randrange(9))])) for i in range(400)] + [(900, float("nan")), (901, inf)]
+    spans = [(i, a, a + rng.choice([0.0, 0.5, 8.0, 1e5, 1e12, -1.0])) for i, a in enumerate(rng.choice([rng.uniform(-50, 50), float(rng.randrange(9)), -1e6]) for _ in range(200))] + [(900, None, 1.0), (901, -inf, inf), (902, 3.0, float("nan")), (903, 2.0, None)]
+    p, s = spark.createDataFrame(points, "i long, x double"), spark.createDataFrame(spans, "j long, lo double, hi double")
+    good = lambda *v: all(x is not None and x == x for x in v)
+    want = sorted((i, j) for i, x in points for j, lo, hi in spans if good(x, lo, hi) and lo <= x <= hi)
+    assert sorted((r.i, r.j) for r in relational.range_join(p, s, "x", "lo", "hi", 0.25).collect()) == want
+    assert relational.range_join(p, s.limit(0), "x", "lo", "hi", 0.25).isEmpty() and relational.range_join(p.limit(0), s, "x", "lo", "hi", 0.25).isEmpty()
+
+
+def test_descendants_of_odd_graphs(spark):
+    below = lambda rows: sorted(tuple(r) for r in relational.descendants(spark.createDataFrame(rows, "p string, c string"), "p", "c").collect())
+    assert below([("a", "b"), ("b", "c"), ("b", "c"), ("a", "c"), ("c", "d"), (None, "x"), ("d", None)]) == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("b", "c", 1), ("b", "d", 2), ("c", "d", 1)]
+    assert below([("a", "b"), ("b", "a")]) == [("a", "a", 2), ("a", "b", 1), ("b", "a", 1), ("b", "b", 2)] and below([]) == []
