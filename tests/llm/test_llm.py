@@ -293,6 +293,30 @@ def test_fuzzy_passages_hot_seeds(spark, monkeypatch):
     assert [r[1] for r in got] == [0] * 62 + [61] and all(r[2] >= 60 for r in got[1:62])
 
 
+def test_fuzzy_passages_all_links(spark):
+    """Seventy edited copies of a passage, more than a seed's occurrences are compared in all pairs, and exact copies of a text: n_links counts every pair that brute force finds."""
+    rng = random.Random(13)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, copies, rows = words(64), [], []
+    for k in range(70):
+        copy = list(passage)
+        for p in rng.sample(range(64), k % 9):
+            copy[p] = words(1)[0]
+        copies.append(copy)
+        rows.append((k, " ".join(words(20) + copy + words(20))))
+    links = [0] * 70
+    for a, b in itertools.combinations(range(70), 2):
+        equal = list(itertools.accumulate((x == y for x, y in zip(copies[a], copies[b], strict=True)), initial=0))
+        linked = any(10 * (equal[i + n] - equal[i]) >= 8 * n for n in range(50, 65) for i in range(65 - n))
+        links[a] += linked
+        links[b] += linked
+    text = " ".join(words(60))
+    rows += [(100 + k, text) for k in range(50)]
+    got = {r[0]: r for r in passage_rows(spark, rows, 3)}
+    assert [got[k][3] for k in range(70)] == links
+    assert all(got[100 + k][1:4] == (100, 60 if k else 0, 49) for k in range(50))
+
+
 def test_secrets(spark, docs, none):
     a = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
     rng = random.Random(1)
