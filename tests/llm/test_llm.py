@@ -314,6 +314,9 @@ def test_fuzzy_passages_all_links(spark):
     rows += [(100 + k, text) for k in range(50)]
     got = {r[0]: r for r in passage_rows(spark, rows, 3)}
     assert [got[k][3] for k in range(70)] == links
+    assert all(got[k][2] >= 50 for k in range(1, 70))
+    a, b = np.arange(80, dtype=np.int32), np.arange(20, 90, dtype=np.int32)
+    assert chaining._repeats([b, a], [7, 3], [5, 0], 50) == {(7, 5, 65, 3)}
     assert all(got[100 + k][1:4] == (100, 60 if k else 0, 49) for k in range(50))
 
 
