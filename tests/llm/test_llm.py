@@ -307,7 +307,7 @@ def test_fuzzy_passages_all_links(spark):
     links = [0] * 70
     for a, b in itertools.combinations(range(70), 2):
         equal = list(itertools.accumulate((x == y for x, y in zip(copies[a], copies[b], strict=True)), initial=0))
-        linked = any(10 * (equal[i + n] - equal[i]) >= 8 * n for n in range(50, 65) for i in range(65 - n))
+        linked = any(10 * (equal[i + n] - equal[i]) >= 8 * n for n in range(50, 65) for i in range(65 - n) if equal[i] < equal[i + 1] and equal[i + n - 1] < equal[i + n])
         links[a] += linked
         links[b] += linked
     text = " ".join(words(60))
@@ -316,6 +316,10 @@ def test_fuzzy_passages_all_links(spark):
     assert [got[k][3] for k in range(70)] == links
     assert all(got[k][2] >= 50 for k in range(1, 70))
     a, b = np.arange(80, dtype=np.int32), np.arange(20, 90, dtype=np.int32)
+    own, other = np.arange(100), np.concatenate((np.arange(-30, 0), np.arange(30, 72), np.arange(-60, -32)))  # 42 equal words are too few
+    assert chaining._agree(own, other, np.arange(30, 69), np.arange(30, 69), 50, 0.8) == []
+    other[30:90] = np.arange(30, 90)
+    assert chaining._agree(own, other, np.arange(30, 87), np.arange(30, 87), 50, 0.8) == [(30, 90)]
     assert chaining._repeats([b, a], [7, 3], [5, 0], 50) == {(7, 5, 65, 3)}
     assert all(got[100 + k][1:4] == (100, 60 if k else 0, 49) for k in range(50))
 
