@@ -9,6 +9,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,40 @@ def test_fuzzy_passages_all_links(spark):
     assert all(got[100 + k][1:4] == (100, 60 if k else 0, 49) for k in range(50))
 
 
+def test_fuzzy_passages_family_work(monkeypatch):
+    """Pieces that repeat one common word up to 49 times, and edited copies of a passage: the links of all pairs compared one by one, with few pairs aligned."""
+    rng = random.Random(14)
+    fresh = itertools.count(100)
+    pieces = []
+    for k in range(60):
+        runs = [[w] * rng.randint(11, 49) for w in (next(fresh), 7, next(fresh))]
+        pieces.append(np.array([*runs[0], *runs[1], *runs[2], *([7] * (k % 3 * 15))], dtype=np.int32))
+    pieces += [np.array([7] * 100, dtype=np.int32), np.array([7] * 48 + [3] * 48 + [7] * 48, dtype=np.int32)]
+    passage = [next(fresh) for _ in range(70)]
+    for k in range(40):
+        copy = list(passage)
+        for p in rng.sample(range(70), k % 15):
+            copy[p] = next(fresh)
+        if k % 4 == 0:
+            copy[30:30] = [next(fresh)] * (k % 5)
+        pieces.append(np.array([next(fresh) for _ in range(k)] + copy, dtype=np.int32))
+    n, want = len(pieces), set()
+    for a, b in itertools.combinations(range(n), 2):
+        one, two = chaining._Piece(pieces[b], 4), chaining._Piece(pieces[a], 4)
+        pos, other_pos = one.matches(two)
+        rows = {tuple(pieces[b][i : i + 50]) for i in range(len(pieces[b]) - 49)} & {tuple(pieces[a][i : i + 50]) for i in range(len(pieces[a]) - 49)}
+        if rows or len(pos) and (chaining._agree(pieces[b], pieces[a], pos, other_pos, 50, 0.8) or chaining._pair_passages(pieces[b], pieces[a], pos, other_pos, 4, 50, 0.8, 0.1)):
+            want.add((b, a))
+    aligned, real = [], chaining._pair_passages
+    monkeypatch.setattr(chaining, "_pair_passages", lambda *a: aligned.append(1) or real(*a))
+    batch = pa.RecordBatch.from_pydict({"family": [1] * n, "i": [0] * n, "j": [0] * n, "block": [0] * n, "doc": list(range(n)), "low": [0] * n, "words": [p.tobytes() for p in pieces]})
+    got = [r for out in chaining._family_rows(4, 50, 0.8, 0.1)([batch]) for r in out.to_pylist()]
+    assert {(r["doc"], r["source"]) for r in got} == want and len(want) > 300
+    assert len(aligned) < 0.1 * n * (n - 1) / 2
+    for r in got:
+        assert r["first"] is None or r["last"] - r["first"] >= 50 and pieces[r["doc"]][r["first"]] in pieces[r["source"]]
+
+
 def test_secrets(spark, docs, none):
     a = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
     rng = random.Random(1)
