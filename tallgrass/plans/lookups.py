@@ -45,9 +45,9 @@ def m15_price_states(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, s_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY s_acctbal DESC, l_linenumber) = 1")
 def m17_trust_order(spark, d):
-    """Of several sources, the one that is trusted most."""
+    """Of several sources, the one that is trusted most; of equally trusted ones on lines of one number, the smallest key, which the SQL leaves open."""
     joined = T(spark, d, "lineitem").join(T(spark, d, "supplier").select("s_suppkey", "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return relational.latest(joined, "l_orderkey", [F.desc("s_acctbal"), F.asc("l_linenumber")]).select("l_orderkey", "l_linenumber", "s_suppkey")
+    return relational.latest(joined, "l_orderkey", [F.desc("s_acctbal"), F.asc("l_linenumber"), F.asc("s_suppkey")]).select("l_orderkey", "l_linenumber", "s_suppkey")
 
 
 @query("SELECT p_brand, count(DISTINCT p_partkey) AS products FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY 1")

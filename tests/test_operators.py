@@ -211,3 +211,11 @@ def test_descendants_of_odd_graphs(spark):
     below = lambda rows: sorted(tuple(r) for r in relational.descendants(spark.createDataFrame(rows, "p string, c string"), "p", "c").collect())
     assert below([("a", "b"), ("b", "c"), ("b", "c"), ("a", "c"), ("c", "d"), (None, "x"), ("d", None)]) == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("b", "c", 1), ("b", "d", 2), ("c", "d", 1)]
     assert below([("a", "b"), ("b", "a")]) == [("a", "a", 2), ("a", "b", 1), ("b", "a", 1), ("b", "b", 2)] and below([]) == []
+
+
+def test_trust_order_of_equal_sources(spark, tmp_path):
+    for at, suppliers in enumerate(((3, 5, 9), (9, 5, 3))):
+        lines = [(order, 1, supplier) for order in range(20) for supplier in suppliers]
+        spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/{at}/lineitem.parquet")
+        spark.createDataFrame([(s, 7.0) for s in suppliers], "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/{at}/supplier.parquet")
+        assert sorted(map(tuple, catalog.QUERIES["m17_trust_order"](spark, f"{tmp_path}/{at}").collect())) == [(order, 1, 3) for order in range(20)]
