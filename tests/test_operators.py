@@ -4,13 +4,14 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text as X
 from tallgrass.operators import changes, facts, relational, structure, vectors
 from tallgrass.plans import blocks, catalog, lookups, rules  # noqa: F401  (all register their queries with catalog)
-from tallgrass.sources import markdown
+from tallgrass.sources import html, markdown
 from tallgrass.sources.html import parse_html
 from tallgrass.streaming import state
 
@@ -219,3 +220,11 @@ def test_trust_order_of_equal_sources(spark, tmp_path):
         spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/{at}/lineitem.parquet")
         spark.createDataFrame([(s, 7.0) for s in suppliers], "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/{at}/supplier.parquet")
         assert sorted(map(tuple, catalog.QUERIES["m17_trust_order"](spark, f"{tmp_path}/{at}").collect())) == [(order, 1, 3) for order in range(20)]
+
+
+def test_large_batches_are_parsed_in_pieces():
+    pages = [(i, f"<h1>T{i}</h1><p>{'some words ' * 300}</p><p>{i}</p>" if i % 7 else None) for i in range(2_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pages]), pa.array([p[1] for p in pages])], names=["page_id", "html"])
+    parsed = list(html._parse_rows([batch]))
+    assert max(b.nbytes for b in parsed) < 2 << 20
+    assert [tuple(r.values()) for b in parsed for r in b.to_pylist()] == [(i, pos, *block) for i, text in pages for pos, block in enumerate(parse_html(text))]
