@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallgrass.session import pieces
+
 # Token budgets and the share by which each kind may exceed the target.
 TARGET, HARD_MAX, LEAST = 512, 1024, 64
 FLEX = {"table": 0.50, "list": 0.35, "code": 0.35, "image": 0.25, "paragraph": 0.10, "heading": 0.0}
@@ -113,19 +117,19 @@ def pack_document(blocks: list[tuple[str, str, str]], target: int = TARGET, hard
     return [(t := text_of(parts), n := count_words(t), len({c for c, _ in parts}), n > hard_max) for parts, _ in merged]
 
 
+def _pack_rows(batches, **budget):
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
+    for batch in (piece for whole in batches for piece in pieces(whole)):
+        out = []
+        for doc_id, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, row in enumerate(pack_document([(b["kind"], b["crumb"], b["text"] or "") for b in items], **budget)):
+                out.append((doc_id, i, f"{doc_id}::c{i}", *row))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "chunk", "node_id", "text", "tokens", "sections", "overflow"])
+
+
 def chunks(blocks: DataFrame, doc: str = "doc_id", **budget) -> DataFrame:
     """Chunks of each document from blocks with pos, kind, heading_path and text. A document's blocks come together, which its length bounds."""
     ready = blocks.where("kind <> 'heading'").select(F.col(doc).alias("doc_id"), F.struct("pos", "kind", F.array_join("heading_path", " > ").alias("crumb"), "text").alias("b"))
     grouped = ready.groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
-
-    def work(batches):
-        for batch in batches:
-            out = []
-            for doc_id, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, row in enumerate(pack_document([(b["kind"], b["crumb"], b["text"] or "") for b in items], **budget)):
-                    out.append((doc_id, i, f"{doc_id}::c{i}", *row))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "chunk", "node_id", "text", "tokens", "sections", "overflow"])
-
-    return grouped.mapInArrow(work, CHUNKS)
+    return grouped.mapInArrow(partial(_pack_rows, **budget), CHUNKS)

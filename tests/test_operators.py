@@ -228,3 +228,12 @@ def test_large_batches_are_parsed_in_pieces():
     parsed = list(html._parse_rows([batch]))
     assert max(b.nbytes for b in parsed) < 2 << 20
     assert [tuple(r.values()) for b in parsed for r in b.to_pylist()] == [(i, pos, *block) for i, text in pages for pos, block in enumerate(parse_html(text))]
+
+
+def test_large_batches_are_packed_in_pieces():
+    blocks = [[{"pos": 0, "kind": "paragraph", "crumb": "A", "text": "word " * 600}, {"pos": 1, "kind": "list", "crumb": "A", "text": None}]] * 2_000
+    whole = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array(blocks)], names=["doc_id", "blocks"])
+    packed = list(structure._pack_rows([whole]))
+    assert max(b.nbytes for b in packed) < 3 << 20
+    want = structure.pack_document([(b["kind"], b["crumb"], b["text"] or "") for b in blocks[0]])
+    assert [tuple(r.values()) for b in packed for r in b.to_pylist()] == [(i, k, f"{i}::c{k}", *row) for i in range(2_000) for k, row in enumerate(want)]
