@@ -66,22 +66,32 @@ def common_prefix(paths) -> Column:
     return F.slice(first, 1, F.greatest(F.size(depths) - 1, F.lit(0)))
 
 
-def gap_fills(blocks: DataFrame, doc: str, order: str, path: str = "path", heading: str = "heading") -> DataFrame:
+def gap_fills(blocks: DataFrame, doc: str, order: str | list[str], path: str = "path", heading: str = "heading") -> DataFrame:
     """Blocks that are no headings but whose number lies between those of the numbered headings around them, in rising order.
 
     path: numbers as an array (null: none). Before the first numbered heading
     everything below it counts, after the last everything above; a document
-    without numbered headings has none.
+    without numbered headings has none. All windows run over one order, so rows
+    are sorted once, and not at all if they come sorted by doc and order.
     """
     anchor = F.when(F.col(heading) & (F.size(path) > 0), F.col(path))
-    in_doc = Window.partitionBy(doc).orderBy(order)
+    in_doc = Window.partitionBy(doc).orderBy(*([order] if isinstance(order, str) else order))
+    so_far, earlier = in_doc.rowsBetween(Window.unboundedPreceding, 0), in_doc.rowsBetween(Window.unboundedPreceding, -1)
     none = F.array().cast("array<int>")
-    placed = blocks.withColumn("__low", F.coalesce(F.last(anchor, True).over(in_doc), none)).withColumn("__high", F.first(anchor, True).over(in_doc.rowsBetween(0, Window.unboundedFollowing)))
-    placed = placed.withColumn("__part", F.count(anchor).over(in_doc)).withColumn("__any", F.count(anchor).over(Window.partitionBy(doc)) > 0)
+    placed = blocks.withColumns(
+        {
+            "__low": F.coalesce(F.last(anchor, True).over(so_far), none),
+            "__high": F.first(anchor, True).over(in_doc.rowsBetween(0, Window.unboundedFollowing)),
+            "__part": F.count(anchor).over(so_far),
+            "__any": F.count(anchor).over(in_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > 0,
+        }
+    )
     below = F.col("__high").isNull() | (F.col(path) < F.col("__high"))
-    fit = placed.where(~F.coalesce(F.col(heading), F.lit(False)) & (F.size(path) > 0) & F.col("__any") & below)
-    earlier = F.max(path).over(Window.partitionBy(doc, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return fit.withColumn("__before", F.greatest(F.coalesce(earlier, none), F.col("__low"))).where(F.col(path) > F.col("__before")).drop("__low", "__high", "__part", "__any", "__before")
+    fit = ~F.coalesce(F.col(heading), F.lit(False)) & (F.size(path) > 0) & F.col("__any") & below
+    # parts follow one another, so the greatest (part, path) so far is of this part if the part has any
+    held = placed.withColumn("__fit", F.coalesce(fit, F.lit(False))).withColumn("__held", F.max(F.when(F.col("__fit"), F.struct(F.col("__part").alias("part"), F.col(path).alias("path")))).over(earlier))
+    before = F.greatest(F.coalesce(F.when(F.col("__held.part") == F.col("__part"), F.col("__held.path")), none), F.col("__low"))
+    return held.where(F.col("__fit") & (F.col(path) > before)).drop("__low", "__high", "__part", "__any", "__fit", "__held")
 
 
 def all_caps(text) -> Column:

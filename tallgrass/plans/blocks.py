@@ -48,9 +48,11 @@ w AS (SELECT l_orderkey, part, part AS k, low AS reached, false AS taken FROM (S
 SELECT l_orderkey, k, reached AS path FROM w WHERE taken""")
 def f17_gap_fills(spark, d):
     """Each line item as a numbered block of its order; the SQL walks from block to block."""
-    rows = T(spark, d, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long"))
+    by = ["l_linenumber", "l_partkey", "l_suppkey"]
+    rows = T(spark, d, "lineitem").select("l_orderkey", *by, (F.col("l_returnflag") == "R").alias("heading"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*by)).cast("long"))
     path = F.when(F.col("l_suppkey") % 7 > 0, F.array((F.col("l_linenumber") % 4 + 1).cast("int"), (F.col("l_suppkey") % 5).cast("int")))
-    found = blocks.gap_fills(rows.select("l_orderkey", "k", (F.col("l_returnflag") == "R").alias("heading"), path.alias("path")), "l_orderkey", "k")
+    found = blocks.gap_fills(rows.withColumn("path", path), "l_orderkey", by)
     return found.select("l_orderkey", "k", F.col("path").cast("array<long>").alias("path"))
 
 

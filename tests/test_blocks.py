@@ -61,3 +61,13 @@ def test_facts_and_records(spark):
     registry = spark.createDataFrame([("p", "i1"), ("q", "i2")], "path string, id string")
     seen = spark.createDataFrame([("q", "x"), ("r", "y")], "path string, id string")
     assert sorted(tuple(r) for r in blocks.upserted(registry, seen, "path", "id").select("path", "id", "verdict").collect()) == [("p", "i1", None), ("q", "i2", "MODIFIED"), ("r", "y", "NEW")]
+
+
+def test_gap_fills_sort_once(spark):
+    rows = [("d", 1, 1, [2], False), ("d", 1, 2, [3], True), ("d", 2, 1, [3, 1], False), ("d", 2, 2, [3, 1], False), ("d", 2, 3, [4], True), ("d", 3, 1, [3], False), ("d", 3, 2, [4, 2], False), ("d", 3, 3, [4, 1], None), ("e", 1, 1, [1], False), ("f", 1, 1, [9], True), ("f", 1, 2, None, False)]
+    df = spark.createDataFrame(rows, "doc string, page int, ord int, path array<int>, heading boolean").repartition(3)
+    found = blocks.gap_fills(df, "doc", ["page", "ord"])
+    assert sorted((r.doc, r.page, r.ord) for r in found.collect()) == [("d", 1, 1), ("d", 2, 1), ("d", 3, 2)]
+    assert found.columns == df.columns
+    plan = blocks.gap_fills(df, "doc", "ord")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [") == 1
