@@ -601,3 +601,27 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     docs.limit(0).write.parquet(f"{folder}/b/documents.parquet")
     bench.limit(0).write.parquet(f"{folder}/b/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{folder}/b").isEmpty()
+
+
+def test_chains_are_aligned_in_pieces():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(2_000)) for _ in range(60)]
+    runs = [{"doc": 1_000 + i, "first": 0, "last": 200, "other": i, "other_first": 0, "other_last": 200, "runs": [0, 0, 200], "before": 0} for i in range(60)]
+    words = {i: w.tolist() for i, w in chaining._doc_words(pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["key", "text"]))}
+    chains = [[{**r, "words": words[i][:200]}] * 200 for i, r in enumerate(runs)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts), pa.array(chains)], names=["key", "text", "chains"])
+    out = list(chaining._align_rows(50, 0.8, 8)([batch]))
+    assert max(len(b) for b in out) < 4_000
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(1_000 + i, 0, 200, i, 0, 200, 1.0) for i in range(60) for _ in range(200)]
+
+
+def test_common_length_by_brute_force():
+    rng = random.Random(10)
+    for _ in range(300):
+        a = [rng.randrange(4) for _ in range(rng.randrange(12))]
+        b = [x if rng.random() < 0.8 else rng.randrange(4) for x in a] + [rng.randrange(4)] * rng.randrange(3)
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert chaining.common_length(a, b) == best[-1][-1]
